@@ -15,9 +15,23 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.line_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints,)}
+    return {f.__name__: f for f in (op2_fingerprints, op4_line_dedup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from matchloom.llm import line_dedup, mixing
+
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
