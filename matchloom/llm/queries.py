@@ -27,11 +27,20 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from matchloom.llm.topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_line_dedup, op9_mixing)}
+    return {f.__name__: f for f in (op2_fingerprints, op4_line_dedup, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from matchloom.llm import line_dedup, mixing
+    from matchloom.llm import line_dedup, mixing, topk
 
-    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op10_topk": topk.ORACLE}
