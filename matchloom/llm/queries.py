@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from matchloom.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.fingerprint import fingerprints
 
@@ -21,6 +27,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.mixing import mix
 
@@ -37,7 +49,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_line_dedup, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
