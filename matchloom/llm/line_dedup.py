@@ -14,31 +14,46 @@ empty results.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS, MIN_DOCS = 10, 2
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLANKS = " \t\n\x0b\f\r"
-
+from matchloom.llm.common import as_bytes, materialise, scratch_dir
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+MIN_CHARS, MIN_DOCS = 10, 2
+BLANKS = b" \t\n\x0b\f\r"
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, pos, digest): a 128-bit digest of each key of at least ``min_chars`` code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at, keys = [], [], []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
+                for pos, line in enumerate(text.split(b"\n")):
+                    key = line.strip(BLANKS).lower()
+                    if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars):
+                        ids.append(doc_id)
+                        at.append(pos)
+                        keys.append(xxhash.xxh3_128_digest(key))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "pos", "digest"])
+
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, pos int, digest binary")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, dropped): for each document that loses lines, their positions, ascending."""
-    lines = (
-        docs.filter(F.col("doc_id").isNotNull())
-        .select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .select("doc_id", "pos", line_key(F.col("line")).alias("key"))
-        .filter(F.length("key") >= min_chars)
-        .select("doc_id", "pos", F.unhex(F.md5(F.col("key").cast("binary"))).alias("digest"))
-    )
+    # Read twice below; the texts are split and hashed once.
+    lines = materialise(line_digests(docs, min_chars), f"{scratch_dir(docs.sparkSession)}/lines")
     if min_docs <= 2:  # two documents at least: the smallest id differs from the largest
         held = lines.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(F.col("owner") < F.col("last"))
     else:
