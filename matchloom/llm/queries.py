@@ -33,6 +33,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.bpe import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.mixing import mix
 
@@ -49,7 +55,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op8_bpe, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
