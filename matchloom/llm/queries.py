@@ -33,6 +33,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.token_files import token_index
+
+    return token_index(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.bpe import digests
 
@@ -55,7 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op8_bpe, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op7_token_files, op8_bpe, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
