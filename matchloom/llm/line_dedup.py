@@ -53,13 +53,17 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, dropped): for each document that loses lines, their positions, ascending."""
     # Read twice below; the texts are split and hashed once.
-    lines = materialise(line_digests(docs, min_chars), f"{scratch_dir(docs.sparkSession)}/lines")
+    path = scratch_dir(docs.sparkSession)
+    lines = materialise(line_digests(docs, min_chars), f"{path}/lines")
     if min_docs <= 2:  # two documents at least: the smallest id differs from the largest
         held = lines.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter(F.col("owner") < F.col("last"))
     else:
         held = lines.select("digest", "doc_id").distinct().groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    # Written, so that both sides of the join come through an exchange of their own and skew handling can split
+    # the lines of a hot key.
+    held = materialise(held.select("digest", "owner"), f"{path}/held")
     return (
-        lines.join(held.select("digest", "owner"), "digest")
+        lines.join(held, "digest")
         .filter(F.col("doc_id") > F.col("owner"))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("pos")).alias("dropped"))

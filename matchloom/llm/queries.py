@@ -27,6 +27,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.toxicity import toxicity
 
@@ -61,7 +67,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op6_toxicity, op7_token_files, op8_bpe, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op5_html, op6_toxicity, op7_token_files, op8_bpe, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
