@@ -21,6 +21,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matchloom.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matchloom.llm.line_dedup import digests
 
@@ -67,7 +73,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op4_line_dedup, op5_html, op6_toxicity, op7_token_files, op8_bpe, op9_mixing, op10_topk)}
+    return {f.__name__: f for f in (op1_quality, op2_fingerprints, op3_jaccard_join, op4_line_dedup, op5_html, op6_toxicity, op7_token_files, op8_bpe, op9_mixing, op10_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
