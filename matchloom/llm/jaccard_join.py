@@ -38,10 +38,11 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes
 from matchloom.llm.graph import components
 
-WIDTH, THRESHOLD = 5, 80
-#: Parts of a signature that are dealt together; signatures in a dealt unit, about; groups that try all pairs;
+WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
+#: NARROW and WIDE: bits of a sketch for two elements, at least, in small and in large groups.
+#: Signature parts that are dealt together; signatures in a dealt unit, about; groups that try all pairs;
 #: leaders of larger ones; members in a block of those; classes that a task remembers.
-PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN = 16, 1_000_000, 48, 3, 2048, 200_000
+PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN = 8, 1_000_000, 48, 3, 2048, 200_000
 
 
 @cache
@@ -84,9 +85,9 @@ def signatures(elements: np.ndarray, threshold: int = THRESHOLD) -> Iterator[tup
         yield f, at, mix64(sums ^ mix64(at.astype(np.uint64) + np.uint64(1)))
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements' low bits, on a power of two of bits, 1.5 an element or more."""
-    bits = 1 << max(6, int(3 * len(elements) // 2 - 1).bit_length())
+def sketch(elements: np.ndarray, per_two: int) -> bytes:
+    """Parities of the elements' low bits, on a power of two of bits, ``per_two`` for two elements or more."""
+    bits = 1 << max(6, (per_two * len(elements) // 2 - 1).bit_length())
     low = (elements & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(low, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -123,8 +124,8 @@ def class_of(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-SIGNED = "bucket bigint, blob binary, doc_id bigint, n bigint, class binary, sketch binary"
-GROUPED = "gid bigint, size bigint, doc_id bigint, n bigint, class binary, sketch binary"
+SIGNED = "bucket bigint, blob binary, doc_id bigint, n bigint, class binary, narrow binary, wide binary"
+GROUPED = "gid bigint, size bigint, doc_id bigint, n bigint, class binary, narrow binary, wide binary"
 
 
 def _record(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -147,13 +148,14 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
     schema = _schema(SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, turn = WordHashes(), set(), 0
+        words, seen, turn = WordHashes(200_000), set(), 0
         rows: list[tuple] = []
         keys, sums, owners, classes, held = [], [], [], [], 0
 
         def packed() -> Iterator[tuple]:
             nonlocal held
-            if not classes:
+            if not keys:
+                classes.clear()
                 return
             key, value, owner = np.concatenate(keys), np.concatenate(sums), np.concatenate(owners)
             key = key * slots + (value >> np.uint64(40)).astype(np.int64) % slots
@@ -163,38 +165,38 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, count = np.unique(owner[a:b], return_counts=True)  # owners are in order inside a bucket
-                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u4").tobytes() + value[a:b].astype("<u8").tobytes(), None, None, None, None
+                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u4").tobytes() + value[a:b].astype("<u8").tobytes(), None, None, None, None, None
             for x in (keys, sums, owners, classes):
                 x.clear()
             held = 0
 
-        for b in batches:
-            words.trim()
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
-                elements = shingle_set(words, text, width)
-                turn += 1
-                if not len(elements) or doc_id is None:
-                    rows.append((-1 - turn % 4096, None, doc_id, len(elements), None, None))
-                    continue
-                c = class_of(elements)
-                if c in seen:
-                    rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, None))
-                    continue
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(c)
-                rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, sketch(elements)))
-                for f, at, values in signatures(elements, threshold):
-                    keys.append((f << 32) + at // PARTS)
-                    sums.append(values)
-                    owners.append(np.full(len(values), len(classes), np.int32))
-                    held += len(values)
-                classes.append(c)
-                if held >= 1_000_000:
-                    rows += packed()
-            rows += packed()
-            yield _record(schema, rows)
-            rows.clear()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                words.trim()
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
+                    elements = shingle_set(words, text, width)
+                    turn += 1
+                    c = class_of(elements) if len(elements) and doc_id is not None else None
+                    if c is None or c in seen:
+                        rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, None, None))
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(c)
+                    rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, sketch(elements, NARROW), sketch(elements, WIDE)))
+                    for f, at, values in signatures(elements, threshold):
+                        keys.append((f << 32) + at // PARTS)
+                        sums.append(values)
+                        owners.append(np.full(len(values), len(classes), np.int32))
+                        held += len(values)
+                    classes.append(c)
+                    if held >= 500_000:
+                        rows += packed()
+                        yield _record(schema, rows)
+                        rows.clear()
+        rows += packed()
+        yield _record(schema, rows)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNED)
 
@@ -241,7 +243,7 @@ def group(signed: DataFrame) -> DataFrame:
                     if gid not in known:
                         known.add(gid)
                         for k in range(len(members)):
-                            yield gid, len(members), None, None, found[16 * k : 16 * k + 16], None
+                            yield gid, len(members), None, None, found[16 * k : 16 * k + 16], None, None
 
         rows: list[tuple] = []
         for b in batches:
@@ -260,7 +262,7 @@ def group(signed: DataFrame) -> DataFrame:
             plain = pa.array([i for i, x in enumerate(blob) if x is None], pa.int64())
             kept = b.take(plain)
             none = pa.nulls(len(plain), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("n"), kept.column("class"), kept.column("sketch")], [n for n, _ in schema])
+            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("n"), kept.column("class"), kept.column("narrow"), kept.column("wide")], [n for n, _ in schema])
         if blobs:
             rows += groups()
         yield _record(schema, rows)
@@ -412,10 +414,11 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(1, round(size / 12 / UNIT / 175))
     grouped = materialise(group(sign(docs, width, threshold, slots)), f"{path}/grouped")
-    rows = grouped.filter("gid is null").select("doc_id", "n", "class", "sketch")
-    classes = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), f"{path}/classes")
+    rows = grouped.filter("gid is null").select("doc_id", "n", "class", "narrow", "wide")
+    classes = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide")), f"{path}/classes")
     members = grouped.filter("gid is not null").select("gid", "size", "class").distinct().join(classes, "class")
-    members = materialise(members.select("gid", "size", "class", "rep", "n", "sketch"), f"{path}/members")
+    sketches = F.when(F.col("size") <= SMALL, F.col("narrow")).otherwise(F.col("wide"))
+    members = materialise(members.select("gid", "size", "class", "rep", "n", sketches.alias("sketch")), f"{path}/members")
     small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
     is_open = not large.isEmpty()
     found = small_group_pairs(small, threshold)
