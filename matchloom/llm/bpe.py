@@ -19,8 +19,10 @@ whole; repeated rows keep a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -107,18 +109,6 @@ class Automaton:
             found = self.arcs[key] = self._meets(u, v)
         return found
 
-    def longest(self, word: str, at: int) -> int | None:
-        """The longest token that ``word`` has at a position."""
-        found, children = None, self.root
-        for c in word[at:]:
-            node = children.get(c)
-            if node is None:
-                break
-            if node[0] is not None:
-                found = node[0]
-            children = node[1]
-        return found
-
     def encode(self, marks: str) -> list[int]:
         """The tokens of one pre-split word of byte marks; its last symbol carries the end mark.
 
@@ -129,101 +119,141 @@ class Automaton:
         whole = self.token.get(word)
         if whole is not None:
             return [whole]
+        root, arcs, size, shorter = self.root, self.arcs, self.size, self.shorter
         out: list[int] = []
         failed: set[int] = set()
-        at, last, t, n = 0, -1, self.longest(word, 0), len(word)
+        at, last, n = 0, -1, len(word)
         while True:
-            if t is None:
-                failed.add(at)
-                t = out.pop()
-                at -= self.size[t]
-                last = out[-1] if out else -1
-                t = self.shorter[t]
-            elif at + self.size[t] not in failed and (last < 0 or self.arc(last, t)):
-                out.append(t)
-                at += self.size[t]
-                if at == n:
-                    return out
-                last, t = t, self.longest(word, at)
-            else:
-                t = self.shorter[t]
+            t, children = None, root  # the longest token from here
+            for c in word[at:]:
+                node = children.get(c)
+                if node is None:
+                    break
+                if node[0] is not None:
+                    t = node[0]
+                children = node[1]
+            while True:
+                if t is None:
+                    failed.add(at)
+                    t = out.pop()
+                    at -= size[t]
+                    last = out[-1] if out else -1
+                elif at + size[t] not in failed:
+                    if last < 0:
+                        break
+                    alive = arcs.get(last << 32 | t)
+                    if alive or alive is None and self.arc(last, t):
+                        break
+                t = shorter[t]
+            out.append(t)
+            at += size[t]
+            if at == n:
+                return out
+            last = t
+
+
+class Splitter:
+    """Normalises and pre-splits texts as the file says: NFC, lower case, words, single digits, other marks.
+
+    ``split`` gives the words of a text; a special token is a word of its own, which no other word can equal.
+    Three patterns give the same words: for ASCII, for Latin letters, and for any text.
+    """
+
+    ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
+    LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    #: Not for LATIN: other letters and marks, numbers that are not digits, controls that only Python calls space.
+    OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]")
+
+    def __init__(self, spec: dict):
+        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or pattern != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+            raise ValueError("only files with NFC, white space, lower case, these words and byte marks")
+        self.words = regex.compile(pattern)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.at_special = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
+
+    def split(self, text: bytes) -> list[str]:
+        if b"<|" in text and self.special:
+            return [w for part in self.at_special.split(text.decode("utf-8", "replace")) for w in ([part] if part in self.special else self.plain(part))]
+        return self.plain(text.decode("utf-8", "replace"))
+
+    def plain(self, text: str) -> list[str]:
+        if not self.OTHER.search(text):
+            return (self.ASCII if text.isascii() else self.LATIN).findall(unicodedata.normalize("NFC", text).lower())
+        text = unicodedata.normalize("NFC", text)
+        return self.words.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+
+    def slices(self, text: bytes, most: int = 1 << 20) -> Iterator[list[str]]:
+        """The words of a text, from some ``most`` bytes at a time; cuts lie in white space, which no word holds."""
+        at = 0
+        while len(text) - at > most:
+            cut = max(text.rfind(c, at + 1, at + most) for c in (b" ", b"\n", b"\t"))
+            if cut < 0:  # one word of more than a slice
+                cut = min((x for x in (text.find(c, at + most) for c in (b" ", b"\n", b"\t")) if x >= 0), default=len(text))
+            yield self.split(text[at:cut])
+            at = cut
+        yield self.split(text[at:])
 
 
 class Lines(dict):
-    """Piece -> (its ids as text, their number, its decoded text); bounded."""
+    """Word -> (its ids as text, their number, its decoded text); bounded."""
 
     def __init__(self, of: "Tokenizer", most: int):
         super().__init__()
         self.of, self.most = of, most
 
-    def __missing__(self, piece: bytes) -> tuple[str, int, str]:
-        if len(self) > self.most:
-            self.clear()
-        ids = self.of.piece_ids(piece.decode("utf-8", "replace"))
-        self[piece] = found = (" ".join(map(str, ids)), len(ids), self.of.decode(ids))
+    def __missing__(self, word: str) -> tuple[str, int, str]:
+        ids = self.of.word_ids(word)
+        self[word] = found = (" ".join(map(self.of.numbers.__getitem__, ids)), len(ids), self.of.decode(ids))
         return found
 
 
 class Tokenizer:
-    """Encodes texts as the file's tokenizer does, piece by piece between white space, with bounded caches."""
+    """Encodes texts as the file's tokenizer does, with a bounded cache of words."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
-        self.check(spec)
+        if model["type"] != "BPE" or spec["decoder"]:
+            raise ValueError("only BPE files without a decoder")
+        self.splitter = Splitter(spec)
         self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
         self.marks = byte_marks()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels = self.automaton.label | {i: t for t, i in self.special.items()}
-        self.at_special = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.most = most
-        self.of_word: dict[str, list[int]] = {}
+        self.labels = self.automaton.label | {i: t for t, i in self.splitter.special.items()}
+        self.numbers = {i: str(i) for i in self.labels}
         self.lines = Lines(self, most)
 
-    @staticmethod
-    def check(spec: dict) -> None:
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["model"]["type"] != "BPE" or spec["decoder"]:
-            raise ValueError("only files with NFC, white space, lower case, split words, byte marks, BPE and no decoder")
-
-    def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-
-    def piece_ids(self, piece: str) -> list[int]:
-        out: list[int] = []
-        parts = self.at_special.split(piece) if self.at_special and "<" in piece else [piece]
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part])
-                continue
-            for word in self.words.findall(self.normal(part)):
-                ids = self.of_word.get(word)
-                if ids is None:
-                    if len(self.of_word) > self.most:
-                        self.of_word.clear()
-                    ids = self.of_word[word] = self.automaton.encode("".join(map(self.marks.__getitem__, word.encode("utf-8"))))
-                out += ids
-        return out
+    def word_ids(self, word: str) -> list[int]:
+        """The tokens of a normalised word."""
+        if word in self.splitter.special:
+            return [self.splitter.special[word]]
+        return self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.marks.__getitem__, word.encode("utf-8"))))
 
     def encode(self, text: bytes) -> list[int]:
-        return [i for piece in text.split() for i in self.piece_ids(piece.decode("utf-8", "replace"))]
+        return [i for word in self.splitter.split(text) for i in self.word_ids(word)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.labels.__getitem__, ids))
 
-    def digest(self, text: bytes, step: int = 20_000) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text."""
+    def digest(self, text: bytes, keep: list | None = None) -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text.
+
+        ``keep``, if given, gets the ids as arrays.
+        """
         ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-        pieces = text.split()
-        for k in range(0, len(pieces), step):
-            lines = [x for x in map(self.lines.__getitem__, pieces[k : k + step]) if x[1]]
-            if lines:
+        if len(self.lines) > self.lines.most:
+            self.lines.clear()
+        for words in self.splitter.slices(text):
+            if words:
                 gap = " " if n else ""
-                n += sum([x[1] for x in lines])
-                ids.update((gap + " ".join([x[0] for x in lines])).encode())
-                back.update((gap + " ".join([x[2] for x in lines])).encode("utf-8"))
+                numbers, counts, labels = zip(*map(self.lines.__getitem__, words))
+                n += sum(counts)
+                numbers = " ".join(numbers)
+                ids.update((gap + numbers).encode())
+                back.update((gap + " ".join(labels)).encode("utf-8"))
+                if keep is not None:
+                    keep.append(np.fromstring(numbers, np.int32, sep=" "))
         return n, ids.hexdigest(), back.hexdigest()
 
 
@@ -244,7 +274,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
+            gc.disable()  # the caches hold no cycles, and scanning them again and again costs a fifth of the time
             rows = [t.digest(x) for x in as_bytes(b.column("text"))]
+            gc.enable()
             columns = [b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -252,15 +284,36 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): the tokens of every whole text and the text that they decode to."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every whole text and the digests."""
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                gc.disable()
+                rows, ids, ends = [], [], [0]
+                for x in as_bytes(part.column("text")):
+                    rows.append(t.digest(x, keep=ids))
+                    ends.append(ends[-1] + rows[-1][0])
+                gc.enable()
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                columns = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), lists, *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
+def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, text): the text that each list of ids decodes to; a NULL list decodes to the empty text."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids = [t.encode(x) for x in as_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([t.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.decode(x or []) for x in part.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
+    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
