@@ -436,3 +436,16 @@ def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> Dat
     component = classes.select("class", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("c"), F.coalesce("label", "rep").alias("component"))
     component = materialise(component, f"{path}/components")
     return rows.join(component, F.col("class") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """One document of each group of linked ones, the smallest id, with the same columns.
+
+    Rows of one id are copies if their texts link, and then one stays; rows with a NULL id stay.
+    """
+    found = materialise(join(docs, width, threshold), f"{scratch_dir(docs.sparkSession)}/groups")
+    lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -71,27 +71,28 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All rows of ``docs`` with ``kept`` (the text of the lines that stay), ``n_lines`` and ``n_dropped``.
-
-    The three new columns must not be among the input's; ``kept`` is empty when no line stays.
-    """
-    lost = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), "dropped")
-    lines = _lines(F.col("text"))
+    """(row, kept, n_lines, n_dropped) for each row of ``docs``, which is ``row``; ``kept`` is the text that stays."""
+    lost = dropped_lines(docs, min_chars, min_docs).select(F.col("doc_id").alias("id"), "dropped")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), _lines(F.col("text")).alias("lines"))
     # Runs of kept lines lie between dropped positions, so a document's work is linear in its lines.
-    ends = F.concat(F.col("dropped"), F.array(F.size(lines)))
+    ends = F.concat(F.col("dropped"), F.array(F.size("lines")))
     starts = F.concat(F.array(F.lit(0)), F.transform(F.col("dropped"), lambda x: x + 1))
-    runs = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("__lines"), a + 1, F.greatest(b - a, F.lit(0)))))
-    return (
-        docs.join(lost, docs["doc_id"] == lost["__id"], "left")
-        .drop("__id")
-        .withColumn("__lines", lines)
-        .withColumn("n_lines", F.size("__lines").cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
-        .withColumn("kept", F.when(F.col("dropped").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(runs, "\n")))
-        .drop("__lines", "dropped")
+    runs = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("lines"), a + 1, F.greatest(b - a, F.lit(0)))))
+    return rows.join(lost, F.col("key") == F.col("id"), "left").select(
+        "row",
+        F.when(F.col("dropped").isNull(), F.coalesce(F.col("row.text"), F.lit(""))).otherwise(F.array_join(runs, "\n")).alias("kept"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the same columns, whose ``text`` (and ``n_chars``, if there is one) is what stays."""
+    found = dedup_lines(docs, min_chars, min_docs)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return found.select(*(new.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
+
+
 ORACLE = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -115,4 +116,4 @@ FROM marked GROUP BY doc_id
 
 def digests(docs: DataFrame) -> DataFrame:
     """The columns of the query: counts and the digest of each kept text."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

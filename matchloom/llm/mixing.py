@@ -167,6 +167,24 @@ def mix(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
+def mixed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each pass over a document, cut to the words taken.
+
+    A source takes the front of its stream in every pass, so a pass takes a document whole or its first words
+    (their white space becomes single spaces); one document a source and pass is cut at most.  ``doc_id`` must be
+    unique among documents with words; of rows that share one, each takes what any of them would.
+    """
+    taken = mix(docs, slots).filter("taken > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    parts = F.filter(F.array(F.least("taken", "size"), F.col("taken") - F.col("size")), lambda x: x > 0)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), "text").join(taken, F.col("key").eqNullSafe(F.col("id")))
+    rows = rows.select("row", "text", "size", F.explode(parts).alias("part"))
+    text = F.when(F.col("part") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " "))
+    rows = rows.select("row", text.alias("cut"))
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("bigint")}
+    return rows.select(*(new.get(f.name, F.col("row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
+
+
 ORACLE = """
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,

@@ -286,3 +286,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     return score(docs, train(docs, labels, sample)).select(
         "doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages"
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with the same columns."""
+    model = train(docs, labels, sample)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(model.odds)
+        for b in batches:
+            kept = []
+            for text in as_bytes(b.column("text")):
+                words = tokens(text)
+                s = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                kept.append(model.score(sum(x[2] for x in model.significant(segments(s), len(s)))) < threshold)
+            yield b.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
