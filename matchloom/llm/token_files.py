@@ -1,12 +1,13 @@
 """Token-id files: Parquet with one list of ids a document, in ascending ``doc_id`` order over files and rows.
 
-Each file is a range of ids.  Token lists are dictionary-encoded (ids fit in 16 bits), the ascending numbers
-(``doc_id``, ``row``, ``before``) are delta-encoded, row groups and pages are kept small, and page indexes let a
+Each file is a range of ids.  All numbers are delta-encoded and bit-packed (token ids take 17 bits or so, the
+ascending ``doc_id``, ``row`` and ``before`` far less), row groups and pages are kept small, and page indexes let a
 reader fetch the tokens of a few documents, or the numbers alone, without the rest.  Columns: ``part`` and ``row``
 (file and place in it), ``doc_id``, ``before`` (ids of earlier rows of the file), ``n_tokens`` and ``ids``.
 
-Texts are encoded by the tokenizers library.  No token of these tokenizers spans ASCII white space, so a text is
-cut there, distinct pieces are encoded once and their ids are gathered; the pieces' cache is bounded.
+Texts are encoded by the tokenizers library, word by word: texts are normalised and pre-split as the tokenizer file
+says, by Arrow's kernels, the library encodes each distinct word once, and the words' ids are gathered.  The cache
+of words is bounded.
 
 Defined results: NULL and empty texts hold the end id alone; rows with a NULL id come first; rows of one id are
 ordered by text; an empty table gives files without rows and an empty result.
@@ -14,77 +15,108 @@ ordered by text; an empty table gives files without rows and an empty result.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.bpe import default_path
-from matchloom.llm.common import as_bytes, scratch_dir
+from matchloom.llm.bpe import Splitter, default_path
+from matchloom.llm.common import scratch_dir
 
 END = 2
 SCHEMA = "part int, row bigint, doc_id bigint, before bigint, n_tokens bigint, ids array<int>"
 LAYOUT = {
-    "compression": "zstd",
+    "compression": "snappy",
     "parquet.writer.version": "PARQUET_2_0",
+    "parquet.enable.dictionary": "false",  # integers are delta-encoded then
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
-    "parquet.dictionary.page.size": str(1 << 20),
-    "parquet.enable.dictionary": "true",
-    "parquet.enable.dictionary#doc_id": "false",
-    "parquet.enable.dictionary#row": "false",
-    "parquet.enable.dictionary#before": "false",
-    "parquet.enable.dictionary#n_tokens": "false",
 }
-STOP = b"\n"  # stands for the end of a document among the pieces; no piece holds white space
+#: The words of the tokenizer file, with white space as Unicode has it, in the syntax of Arrow's expressions.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x85\p{Z}\p{L}\p{N}]+"
+#: Texts that go through the Python splitter: those with special tokens, with controls that Arrow calls space, with
+#: the one letter whose lower case is two, or with anything outside blocks that are composed (NFC) as they stand.
+HARD = r"<\||[\x1c-\x1f\x{130}]|[^\x00-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 
 
 class Encoder(dict):
-    """Piece -> place of its ids; ``encode`` gathers the ids of texts."""
+    """Word -> place of its ids; ``encode`` gives the ids of texts."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.splitter = Splitter(json.load(open(path, encoding="utf-8")))
+        self.tokenizer.normalizer = Sequence([])  # words are normal already
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self[STOP] = 0
-        self.start, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], np.int32)
-
-    def learn(self, pieces: list[bytes], step: int = 20_000) -> None:
-        for k in range(0, len(pieces), step):
-            part = pieces[k : k + step]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.update(zip(part, range(len(self.size), len(self.size) + len(part))))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))])
-
-    def gather(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, and how many each has."""
+        self[""] = 0
+        self.new: list[str] = []
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+    def learn(self, step: int = 10_000) -> None:
+        """Encodes the words that were looked up for the first time."""
+        starts, sizes, ids, n = [self.start], [self.size], [self.ids], len(self.ids)
+        for k in range(0, len(self.new), step):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(self.new[k : k + step], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            sizes.append(size)
+            starts.append(n + np.cumsum(size) - size)
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
+            n += len(ids[-1])
+        self.new.clear()
+        self.start, self.size, self.ids = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, each with the end id, and the end of each text in them.
+
+        Words come from Arrow's kernels, as codes into the distinct words of these texts; only those are looked up.
+        """
         if len(self) > self.most:
             self.reset()
-        new = set(pieces).difference(self)
-        if new:
-            self.learn(list(new))
-        rows = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.size[rows]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.start[rows] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.ids[at], sizes
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, HARD)
+        easy = pc.if_else(hard, "", texts)
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(easy), WORDS, r" \0"))
+        coded = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        place = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        rows = place[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+        if len(at):
+            more = [np.fromiter(map(self.__getitem__, self.splitter.split(x.encode())), np.int64) for x in texts.take(pa.array(at)).to_pylist()]
+            rows = np.insert(rows, np.repeat(offsets[at + 1], list(map(len, more))), np.concatenate(more))
+            offsets[1:] += np.cumsum(np.bincount(at, list(map(len, more)), len(texts))).astype(np.int64)
+        if self.new:
+            self.learn()
+        size = self.size[rows]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        gathered = self.ids[np.repeat(self.start[rows] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        stops = ends[offsets[1:]]
+        return np.insert(gathered, stops, np.int32(END)), stops + np.arange(1, len(texts) + 1)
 
 
 _HELD: dict[str, Encoder] = {}
@@ -97,39 +129,14 @@ def encoder(path: str) -> Encoder:
     return _HELD[path]
 
 
-def slices(text: bytes, most: int) -> Iterator[list[bytes]]:
-    """The pieces of a text between white space, some ``most`` bytes of text at a time."""
-    at = 0
-    while len(text) - at > most:
-        cut = max(text.rfind(c, at, at + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut <= at:  # one piece that is longer than a slice
-            cut = min((x for x in (text.find(c, at + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0), default=len(text))
-        yield text[at:cut].split()
-        at = cut
-    yield text[at:].split()
-
-
-def encode_texts(texts: list[bytes], path: str, most: int = 1 << 20) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """For runs of texts: (first, behind, the ids of each with the end id), holding about ``most`` bytes of pieces."""
+def encode_texts(texts: pa.StringArray, path: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: (first, behind, ids with end ids, end of each in them), some ``most`` bytes at a time."""
     held = encoder(path)
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     k = 0
     while k < len(texts):
-        if len(texts[k]) > most:
-            found = [held.gather(pieces)[0] for pieces in slices(texts[k], most)]
-            yield k, k + 1, [np.concatenate([*found, np.array([END], np.int32)])]
-            k += 1
-            continue
-        pieces: list[bytes] = []
-        stops, room, j = [], most, k
-        while j < len(texts) and len(texts[j]) <= room:
-            pieces += texts[j].split()
-            pieces.append(STOP)
-            stops.append(len(pieces))
-            room -= len(texts[j])
-            j += 1
-        ids, sizes = held.gather(pieces)
-        ends = np.cumsum(sizes)[np.array(stops) - 1]
-        yield k, j, np.split(ids, ends[:-1])
+        j = max(k + 1, int(np.searchsorted(total, total[k] + most, "right")) - 1)
+        yield k, j, *held.encode(texts.slice(k, j - k))
         k = j
 
 
@@ -140,14 +147,14 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            names, texts = b.column("doc_id").to_pylist(), as_bytes(b.column("text"))
-            for first, behind, found in encode_texts(texts, path):
-                sizes = np.fromiter(map(len, found), np.int64, len(found))
-                ends = np.cumsum(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(found)))
+            gc.disable()  # the cache holds no cycles
+            names = b.column("doc_id")
+            for first, behind, ids, ends in encode_texts(b.column("text"), path):
+                sizes = np.diff(ends, prepend=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 n = behind - first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(names[first:behind], pa.int64()), pa.array(before + ends - sizes), pa.array(sizes), lists],
+                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), names.slice(first, behind - first), pa.array(before + ends - sizes), pa.array(sizes), lists],
                     ["part", "row", "doc_id", "before", "n_tokens", "ids"],
                 )
                 row, before = row + n, before + int(ends[-1])
