@@ -81,18 +81,21 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     stack: list[tuple[str, int]] = []  # open elements and their kinds
     skipping, main, links = 0, 0, 0
     parts: list[str] = []
-    linked, any_main = 0, False
+    linked, any_main, hidden = 0, False, False
 
     def end_line():
-        nonlocal linked
+        nonlocal linked, hidden
         text = " ".join("".join(parts).split())
-        out.append((text, max(0, len(text) - linked), main > 0))
+        if text or hidden:  # a skipped line is an empty one; markup alone is none
+            out.append((text, max(0, len(text) - linked), main > 0))
         parts.clear()
-        linked = 0
+        linked, hidden = 0, False
 
     def put(text: str):
-        nonlocal linked
-        if text and not skipping:
+        nonlocal linked, hidden
+        if skipping:
+            hidden = hidden or not text.isspace() and text != ""
+        elif text:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
