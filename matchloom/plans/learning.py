@@ -20,6 +20,7 @@ from matchloom.operators.compete import ANCHOR_SIDE, TARGET_SIDE, competition
 from matchloom.operators.decide import one_owner, threshold
 from matchloom.operators.metrics import best_threshold, sweep
 from matchloom.operators.splits import half, is_dev
+from matchloom.scratch import held
 
 # Fixed columns of the second stage and its gate.
 CARRIED = (
@@ -74,7 +75,8 @@ class Matcher:
 
 def fit(pairs: DataFrame, features: tuple[str, ...], rounds: int = 40, depth: int = 5, weight: str | None = None, seed: int = 7) -> Matcher:
     """Trains on (features, label, anchor[, weight]) with a development part split by anchor, never by pair."""
-    data = _encoded(pairs, features).withColumn("dev", is_dev(F.col("anchor"))).withColumn("label", F.col("label").cast("double"))
+    data = held(pairs.select(*features, "label", "anchor", *([weight] if weight else [])))  # read once a round otherwise
+    data = _encoded(data, features).withColumn("dev", is_dev(F.col("anchor"))).withColumn("label", F.col("label").cast("double"))
     inputs = [x for f in features for x in (f"x_{f}", f"m_{f}")]
     trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", maxBins=64, seed=seed, validationIndicatorCol="dev")
     if weight:
@@ -91,10 +93,10 @@ def stage2_table(scored: DataFrame) -> DataFrame:
 
 def fit_stage2(scored: DataFrame, anchors: DataFrame, rounds: int = 20, depth: int = 4, grid: list[float] = GRID) -> tuple[Matcher, dict]:
     """Second stage with an honest report: each half is judged by the other's model and threshold."""
-    table = stage2_table(scored).withColumn("half", half(F.col("anchor"))).persist()
+    table = held(stage2_table(scored).withColumn("half", half(F.col("anchor"))))
     models = {h: fit(table.filter(F.col("half") != h), STAGE2, rounds, depth) for h in (0, 1)}
     parts = [models[h].predict(table.filter(F.col("half") == h)).select("anchor", "target", "label", "p", "half") for h in (0, 1)]
-    oof = parts[0].unionByName(parts[1]).persist()
+    oof = held(parts[0].unionByName(parts[1]))
     side = anchors.withColumn("half", half(F.col("anchor")))
     report = {"thresholds": {}, "scores": {}}
     for h in (0, 1):
@@ -102,8 +104,6 @@ def fit_stage2(scored: DataFrame, anchors: DataFrame, rounds: int = 20, depth: i
         report["thresholds"][h] = chosen["t"]
         report["scores"][h] = sweep(oof.filter(F.col("half") == h), side.filter(F.col("half") == h), [chosen["t"]]).first()["macro_f05"]
     final = fit(table, STAGE2, rounds, depth)
-    oof.unpersist()
-    table.unpersist()
     return final, report
 
 

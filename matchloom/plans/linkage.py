@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from matchloom.operators import blocking, features, keys, labels, metrics, records, select, splits, stats
 from matchloom.plans import learning
 from matchloom.schema import CHANNELS, EXTRA_CHANNELS
+from matchloom.scratch import held
 
 
 def prepare(table: DataFrame, freq: DataFrame | None = None) -> DataFrame:
     """Records (entity_id, business_name, business_address, country) with codes, views and ordered tokens."""
-    out = records.prepared(records.with_codes(table))
-    return stats.in_rarity_order(out, freq) if freq is not None else out
+    out = held(records.prepared(records.with_codes(table)))  # keys, statistics and features all start here
+    return held(stats.in_rarity_order(out, freq)) if freq is not None else out
 
 
 def candidates(anchors: DataFrame, targets: DataFrame, cap: int = 3000, k: int = 25, k_wide: int = 150, k_formula: int = 10, extra_k: int = 0) -> DataFrame:
@@ -37,15 +38,16 @@ def training_table(anchors: DataFrame, targets: DataFrame, truth: DataFrame, fol
     (fold 0) search all.  A pair that crosses is an error.
     """
     a_fold, t_fold = splits.make_split(anchors.select(F.col("id").alias("anchor"), "country"), targets.select("code", "source", "country"), truth, folds)
-    a = anchors.join(a_fold.select(F.col("anchor").alias("id"), "fold"), "id")
-    t = targets.join(t_fold.select("code", "fold"), "code")
+    a_fold, t_fold = held(a_fold), held(t_fold)
+    a = held(anchors.join(a_fold.select(F.col("anchor").alias("id"), "fold"), "id"))
+    t = held(targets.join(t_fold.select("code", "fold"), "code"))
     labels.require_empty(splits.leaks(a_fold, t_fold, truth), "true pairs across folds")
-    freq = stats.token_freq(t.filter("fold <> 0").drop("fold").unionByName(a.filter("fold <> 0").drop("fold"), allowMissingColumns=True)).persist()
+    freq = held(stats.token_freq(t.filter("fold <> 0").drop("fold").unionByName(a.filter("fold <> 0").drop("fold"), allowMissingColumns=True)))
     train_a, train_t = a.filter("fold <> 0"), t.filter("fold <> 0")
     out = []
     for left, right in ((train_a, train_t), (a.filter("fold = 0"), t)):
-        left, right = stats.in_rarity_order(left, freq), stats.in_rarity_order(right, freq)
-        pairs = featured(candidates(left, right, **k), left, right, freq)
+        left, right = held(stats.in_rarity_order(left, freq)), held(stats.in_rarity_order(right, freq))
+        pairs = held(featured(held(candidates(left, right, **k)), left, right, freq))
         out.append(labels.label(pairs, truth, ["anchor", "code"]))
     train = splits.thin_negatives(out[0], rate, F.concat_ws("-", "anchor", "code"))
     return train, out[1].withColumn("weight", F.lit(1.0).cast("float"))
@@ -60,7 +62,8 @@ def train_and_report(train: DataFrame, validation: DataFrame, anchors: DataFrame
 
 def predict(matcher: learning.Matcher, anchors: DataFrame, targets: DataFrame, freq: DataFrame, t: float = 0.8, stage2: learning.Matcher | None = None, **k) -> DataFrame:
     """(anchor, target, p, keep) of all candidates."""
-    scored = matcher.predict(featured(candidates(anchors, targets, **k), anchors, targets, freq)).withColumnRenamed("code", "target")
+    pairs = held(candidates(anchors, targets, **k))
+    scored = held(matcher.predict(held(featured(pairs, anchors, targets, freq)))).withColumnRenamed("code", "target")
     if stage2 is not None:
         scored = learning.rejudge(stage2, scored)
     return learning.decide(scored, t).select("anchor", "target", "source", "p", "keep")

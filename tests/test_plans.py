@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from matchloom.operators import stats
 from matchloom.plans import learning, linkage
+from matchloom.scratch import held
 from matchloom.streaming.incremental import match_stream
 
 
@@ -25,7 +26,7 @@ def world(spark, n=70):
 
 def test_training_and_prediction(spark):
     a, t, truth = world(spark)
-    train, val = (x.persist() for x in linkage.training_table(a, t, truth, rate=0.5, k=5, k_wide=8, k_formula=3))
+    train, val = (held(x) for x in linkage.training_table(a, t, truth, rate=0.5, k=5, k_wide=8, k_formula=3))
     assert train.filter("label = 1").count() > 20 and {r["weight"] for r in train.select("weight").distinct().collect()} <= {1.0, 2.0}
     n_true = truth.groupBy("anchor").agg(F.count("*").alias("n_true"))
     held = val.select("anchor").distinct().join(n_true, "anchor", "left").fillna(0)
