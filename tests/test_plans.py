@@ -29,8 +29,8 @@ def test_training_and_prediction(spark):
     train, val = (held(x) for x in linkage.training_table(a, t, truth, rate=0.5, k=5, k_wide=8, k_formula=3))
     assert train.filter("label = 1").count() > 20 and {r["weight"] for r in train.select("weight").distinct().collect()} <= {1.0, 2.0}
     n_true = truth.groupBy("anchor").agg(F.count("*").alias("n_true"))
-    held = val.select("anchor").distinct().join(n_true, "anchor", "left").fillna(0)
-    matcher, report = linkage.train_and_report(train, val, held, t=0.5, rounds=8)
+    valid = val.select("anchor").distinct().join(n_true, "anchor", "left").fillna(0)
+    matcher, report = linkage.train_and_report(train, val, valid, t=0.5, rounds=8)
     assert report.first()["macro_f05"] > 0.8
     with pytest.raises(ValueError):
         matcher.predict(val, tuple(reversed(matcher.features)))
