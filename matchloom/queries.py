@@ -624,7 +624,7 @@ def metric_best_threshold(spark, sf_dir):
     return rounded(metrics.best_threshold(_swept(spark, sf_dir)))
 
 
-@query(f"""WITH {PAIR_VIEW} SELECT CASE WHEN p >= 0.97 THEN 0.97 WHEN p >= 0.9 THEN 0.9 WHEN p >= 0.7 THEN 0.7 WHEN p >= 0.5 THEN 0.5 WHEN p >= 0.3 THEN 0.3 WHEN p >= 0.1 THEN 0.1 ELSE 0.0 END AS bucket,
+@query(f"""WITH {PAIR_VIEW} SELECT CAST(CASE WHEN p >= 0.97 THEN 0.97 WHEN p >= 0.9 THEN 0.9 WHEN p >= 0.7 THEN 0.7 WHEN p >= 0.5 THEN 0.5 WHEN p >= 0.3 THEN 0.3 WHEN p >= 0.1 THEN 0.1 ELSE 0.0 END AS DOUBLE) AS bucket,
   count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(label), 6) AS mean_label FROM pairs WHERE p < 1.01 GROUP BY 1""")
 def metric_calibration(spark, sf_dir):
     return rounded(metrics.calibration(pairs(spark, sf_dir)))
