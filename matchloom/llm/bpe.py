@@ -104,7 +104,7 @@ class Automaton:
         key = u << 32 | v
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 200_000:
                 self.arcs.clear()
             found = self.arcs[key] = self._meets(u, v)
         return found
@@ -212,7 +212,7 @@ class Lines(dict):
 class Tokenizer:
     """Encodes texts as the file's tokenizer does, with a bounded cache of words."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 100_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         if model["type"] != "BPE" or spec["decoder"]:
@@ -279,6 +279,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             gc.enable()
             columns = [b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.lines.clear()  # the process may serve other stages next
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
@@ -288,7 +289,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t = Tokenizer(path)  # of this task alone: the process serves other stages, whose memory it would take
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)

@@ -42,7 +42,7 @@ WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
 #: NARROW and WIDE: bits of a sketch for two elements, at least, in small and in large groups.
 #: Signature parts that are dealt together; signatures in a dealt unit, about; groups that try all pairs;
 #: leaders of larger ones; members in a block of those; classes that a task remembers.
-PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN = 8, 1_000_000, 48, 3, 2048, 200_000
+PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN = 8, 1_000_000, 48, 1, 2048, 200_000
 
 
 @cache

@@ -35,7 +35,7 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, pos, digest): a 128-bit digest of each key of at least ``min_chars`` code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             ids, at, keys = [], [], []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
                 for pos, line in enumerate(text.split(b"\n")):

@@ -52,7 +52,7 @@ def nodes(word: str) -> list[str]:
 class Scores(dict):
     """Token -> score: that of its most specific node that was kept, else the drift."""
 
-    def __init__(self, odds: dict[str, float], most: int = 300_000):
+    def __init__(self, odds: dict[str, float], most: int = 200_000):
         super().__init__()
         self.odds, self.most = odds, most
 
@@ -261,15 +261,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(model.odds)
-        for b in batches:
-            out, passages = [], []
-            for text in as_bytes(b.column("text")):
-                words = tokens(text)
-                s = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                found = model.significant(segments(s), len(s))
-                out.append(model.score(sum(x[2] for x in found)))
-                passages.append([{"begin": x, "end": y, "surprise": z} for x, y, z in found])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array(passages, PASSAGES)], ["doc_id", "score", "passages"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b, out, passages = whole.slice(k, 1000), [], []
+                for text in as_bytes(b.column("text")):
+                    words = tokens(text)
+                    s = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                    found = model.significant(segments(s), len(s))
+                    out.append(model.score(sum(x[2] for x in found)))
+                    passages.append([{"begin": x, "end": y, "surprise": z} for x, y, z in found])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array(passages, PASSAGES)], ["doc_id", "score", "passages"])
 
     return rows.mapInArrow(run, f"doc_id bigint, score double, passages {kind}")
 
@@ -296,12 +297,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Scores(model.odds)
-        for b in batches:
-            kept = []
-            for text in as_bytes(b.column("text")):
-                words = tokens(text)
-                s = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                kept.append(model.score(sum(x[2] for x in model.significant(segments(s), len(s)))) < threshold)
-            yield b.filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b, kept = whole.slice(k, 1000), []
+                for text in as_bytes(b.column("text")):
+                    words = tokens(text)
+                    s = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+                    kept.append(model.score(sum(x[2] for x in model.significant(segments(s), len(s)))) < threshold)
+                yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
