@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import as_bytes
+from matchloom.llm.common import as_bytes, tidy
 
 NEVER, SHIFT = 1 << 60, 0x1000
 
@@ -303,7 +303,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 columns = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), lists, *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +56,24 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def tidy(run):
+    """``run`` over Arrow batches that hands unused memory back to the system when the task ends.
+
+    Worker processes outlive their tasks; without this, what one stage needed stays taken during the next.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # other C libraries
+            pass
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, element by element."""
     x = (x ^ (x >> np.uint64(30))) * M1

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes
+from matchloom.llm.common import WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes, tidy
 from matchloom.llm.graph import components
 
 WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
@@ -198,7 +198,7 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
         rows += packed()
         yield _record(schema, rows)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), SIGNED)
 
 
 def group(signed: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def group(signed: DataFrame) -> DataFrame:
             rows += groups()
         yield _record(schema, rows)
 
-    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPED)
+    return signed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), GROUPED)
 
 
 PAIRS = "a binary, b binary, ra bigint, rb bigint"
@@ -302,7 +302,7 @@ def small_group_pairs(members: DataFrame, threshold: int) -> DataFrame:
             yield _record(schema, list(found))
         yield _record(schema, list(pairs()) if len(held) > 1 else [])
 
-    return members.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, PAIRS)
+    return members.repartition("gid").sortWithinPartitions("gid").mapInArrow(tidy(run), PAIRS)
 
 
 def leader_pairs(members: DataFrame, path: str, threshold: int, leaders: int = LEADERS) -> DataFrame:
@@ -324,7 +324,7 @@ def leader_pairs(members: DataFrame, path: str, threshold: int, leaders: int = L
                         found.add(_pair(c1, r1, c2, r2))
             yield _record(schema, list(found))
 
-    return joined.filter("class <> c2 and 100 * least(n, n2) >= {0} * greatest(n, n2)".format(threshold)).mapInArrow(run, PAIRS)
+    return joined.filter("class <> c2 and 100 * least(n, n2) >= {0} * greatest(n, n2)".format(threshold)).mapInArrow(tidy(run), PAIRS)
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
@@ -367,7 +367,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, threshold: int, block: int
             found.update(pairs())
         yield _record(schema, list(found))
 
-    return rows.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(run, PAIRS)
+    return rows.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(tidy(run), PAIRS)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, path: str, width: int, threshold: int) -> DataFrame:
@@ -387,7 +387,7 @@ def verified(pairs: DataFrame, docs: DataFrame, path: str, width: int, threshold
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(x) for x in sets], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["class", "elements"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = materialise(texts.select("text").mapInArrow(make, "class binary, elements binary"), f"{path}/sets").dropDuplicates(["class"])
+    sets = materialise(texts.select("text").mapInArrow(tidy(make), "class binary, elements binary"), f"{path}/sets").dropDuplicates(["class"])
     firsts = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.lit(False).alias("second"), F.lit(None).cast("bigint").alias("ra"), F.lit(None).cast("bigint").alias("rb"), "elements")
     seconds = pairs.withColumnRenamed("b", "class").join(sets, "class").select("a", F.lit(True).alias("second"), "ra", "rb", "elements")
 
@@ -403,7 +403,7 @@ def verified(pairs: DataFrame, docs: DataFrame, path: str, width: int, threshold
                     out.append((ra, rb))
             yield _record([("u", pa.int64()), ("v", pa.int64())], out)
 
-    return firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", "second").mapInArrow(run, "u bigint, v bigint")
+    return firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", "second").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import as_bytes, materialise, scratch_dir
+from matchloom.llm.common import as_bytes, materialise, scratch_dir, tidy
 
 MIN_CHARS, MIN_DOCS = 10, 2
 BLANKS = b" \t\n\x0b\f\r"
@@ -47,7 +47,7 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "pos", "digest"])
 
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, pos int, digest binary")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, pos int, digest binary")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

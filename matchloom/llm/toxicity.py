@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WordHashes, as_bytes, crc32_mod, mix64, shingle_hashes
+from matchloom.llm.common import WordHashes, as_bytes, crc32_mod, mix64, shingle_hashes, tidy
 from matchloom.llm.quality import labelled_sample, sigmoid
 
 SAMPLE, NODES, PRIOR, Z, DRIFT, LEAST = 24_576, 50_000, 10.0, 2.5, 0.2, 3
@@ -127,7 +127,7 @@ def _one_of_each(sample: DataFrame) -> list[int]:
             words.trim()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_copies(words, t) for t in as_bytes(b.column("text"))], pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    rows = sorted((r["doc_id"], r["keys"]) for r in sample.select("doc_id", "text").mapInArrow(run, "doc_id bigint, keys array<bigint>").collect())
+    rows = sorted((r["doc_id"], r["keys"]) for r in sample.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, keys array<bigint>").collect())
     seen: set[tuple[int, int]] = set()
     out = []
     for doc_id, keys in rows:
@@ -164,7 +164,7 @@ def fit(sample: DataFrame) -> Model | None:
                 yield from out()
         yield from out()
 
-    counts = sample.mapInArrow(count, "node string, t bigint, c bigint").groupBy("node").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.mapInArrow(tidy(count), "node string, t bigint, c bigint").groupBy("node").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     counts = counts.persist()
     try:
         total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
@@ -209,7 +209,7 @@ def fit(sample: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["label", "later", "n", "found", "above"])
 
     # Bounded by the sample: a few numbers a document.
-    seen_docs = sample.mapInArrow(measure, "label int, later boolean, n bigint, found array<double>, above array<double>").collect()
+    seen_docs = sample.mapInArrow(tidy(measure), "label int, later boolean, n bigint, found array<double>, above array<double>").collect()
     later = [r for r in seen_docs if r["later"]] or seen_docs
     clean = [r for r in later if not r["label"]]
     n_clean = sum(r["n"] for r in clean) or 1
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     passages.append([{"begin": x, "end": y, "surprise": z} for x, y, z in found])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.float64()), pa.array(passages, PASSAGES)], ["doc_id", "score", "passages"])
 
-    return rows.mapInArrow(run, f"doc_id bigint, score double, passages {kind}")
+    return rows.mapInArrow(tidy(run), f"doc_id bigint, score double, passages {kind}")
 
 
 PASSAGES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("surprise", pa.float64())]))
@@ -306,4 +306,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                     kept.append(model.score(sum(x[2] for x in model.significant(segments(s), len(s)))) < threshold)
                 yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
