@@ -51,7 +51,7 @@ def byte_marks() -> list[str]:
 
 
 class Automaton:
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str, most: int = 2_000_000):
         self.end, self.label = end, {i: t for t, i in vocab.items()}
         self.rank: dict[tuple[int, int], int] = {}
         #: token -> its right and left ends: (token, the merge that used it up)
@@ -79,6 +79,7 @@ class Automaton:
         self.size = {t: len(x) for x, t in texts.items()}
         self.shorter = {t: next((texts[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in texts), None) for x, t in texts.items()}
         self.arcs: dict[int, bool] = {}
+        self.most = most
 
     def symbols(self, marks: str) -> str:
         """Byte marks, of which the last may carry the end mark, as one character a symbol."""
@@ -104,7 +105,7 @@ class Automaton:
         key = u << 32 | v
         found = self.arcs.get(key)
         if found is None:
-            if len(self.arcs) > 200_000:
+            if len(self.arcs) > self.most:
                 self.arcs.clear()
             found = self.arcs[key] = self._meets(u, v)
         return found
@@ -212,13 +213,13 @@ class Lines(dict):
 class Tokenizer:
     """Encodes texts as the file's tokenizer does, with a bounded cache of words."""
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 500_000, arcs: int = 2_000_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         if model["type"] != "BPE" or spec["decoder"]:
             raise ValueError("only BPE files without a decoder")
         self.splitter = Splitter(spec)
-        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
+        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"], arcs)
         self.marks = byte_marks()
         self.labels = self.automaton.label | {i: t for t, i in self.splitter.special.items()}
         self.numbers = {i: str(i) for i in self.labels}
@@ -279,7 +280,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             gc.enable()
             columns = [b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        t.lines.clear()  # the process may serve other stages next
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
@@ -289,7 +289,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer(path)  # of this task alone: the process serves other stages, whose memory it would take
+        t = Tokenizer(path, 100_000, 200_000)  # of this task alone: the process serves other stages, whose memory it would take
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
