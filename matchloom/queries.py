@@ -765,9 +765,9 @@ def id_lists(spark, sf_dir):
 def gbt_match(spark, sf_dir):
     from matchloom.plans import learning
 
-    scored = compete.competition(pairs(spark, sf_dir)).withColumnRenamed("p", "score0").limit(20_000)
+    scored = compete.competition(pairs(spark, sf_dir)).withColumnRenamed("p", "score0")
     names = ("score0", "q", "tax", "a_gap", "t_margin")
-    return rounded(learning.fit(scored, names, rounds=5, depth=3).predict(scored).select("anchor", "target", "p"), 4)
+    return rounded(learning.fit(scored, names).predict(scored).select("anchor", "target", "p"), 4)
 
 
 @query(f"WITH {PAIR_VIEW}, {CLAIMS} SELECT anchor, target, round(p, 4) AS p, round(t_best_other, 4) AS t_best_other, CAST(a_rank AS INT) AS a_rank FROM comp WHERE p >= 0.005")
