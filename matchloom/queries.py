@@ -2,11 +2,14 @@
 
 Documents and parts serve as records, line items as scored pairs (see the views below).  Doubles are rounded on both
 sides, since sums depend on their order in the last digits.
+
+The SQL of some queries reads 200 characters of a document's body; ``<query>_whole`` reads whole texts (last section).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +77,11 @@ p AS (SELECT *, CASE WHEN length(g) >= 6 THEN g ELSE '' END AS glued FROM (SELEC
 DOCS, PARTS = prepared_sql("doc_records", DOC_RECORDS), prepared_sql("part_records", PART_RECORDS)
 
 
-def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     src, name = F.expr("cast(substr(source, 4) as int) % 3 + 1"), F.split_part("text", F.lit("\n"), F.lit(1))
-    return d.select(F.concat(F.lit("S"), src, F.lit("-"), "doc_id").alias("entity_id"), name.alias("business_name"), F.substring("text", F.length(name) + 2, F.lit(200)).alias("business_address"), F.col("lang").alias("country"))
+    rest = F.substr("text", F.length(name) + 2) if whole else F.substring("text", F.length(name) + 2, F.lit(200))
+    return d.select(F.concat(F.lit("S"), src, F.lit("-"), "doc_id").alias("entity_id"), name.alias("business_name"), rest.alias("business_address"), F.col("lang").alias("country"))
 
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +94,8 @@ def prep(frame: DataFrame) -> DataFrame:
     return records.prepared(records.with_codes(frame))
 
 
-def docs(spark, sf_dir) -> DataFrame:
-    return prep(doc_records(spark, sf_dir))
+def docs(spark, sf_dir, whole=False) -> DataFrame:
+    return prep(doc_records(spark, sf_dir, whole))
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -201,8 +205,8 @@ freq AS (SELECT field, country AS scope, token, count(*) AS df FROM rows GROUP B
 
 
 @query(f"{DOCS}, {FREQ} SELECT field, scope, token, df FROM freq")
-def token_freq(spark, sf_dir):
-    return stats.token_freq(docs(spark, sf_dir))
+def token_freq(spark, sf_dir, whole=False):
+    return stats.token_freq(docs(spark, sf_dir, whole))
 
 
 @query(f"""{PARTS}, {FREQ}, known AS (SELECT DISTINCT scope AS country FROM freq WHERE scope <> '*'),
@@ -239,8 +243,8 @@ CHANNEL_ROWS = " UNION ALL ".join(f"SELECT code, id, src, country, '{c}' AS chan
 
 def _key_query(channel: str, source, prelude: str) -> None:
     @query(f"{prelude} SELECT code, country, unnest({KEY_SQL[channel]}) AS key FROM p", f"keys_{channel}")
-    def run(spark, sf_dir):
-        return keys.keys(source(spark, sf_dir), (channel,)).drop("channel")
+    def run(spark, sf_dir, **how):
+        return keys.keys(source(spark, sf_dir, **how), (channel,)).drop("channel")
 
 
 for _c in CHANNELS + EXTRA_CHANNELS:
@@ -265,8 +269,8 @@ def _key_sides(p: DataFrame, channels=CHANNELS) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"{DOCS}, {BLOCKS} SELECT country, channel, key, size FROM blk")
-def block_sizes(spark, sf_dir):
-    return blocking.block_sizes(_key_sides(docs(spark, sf_dir))[1])
+def block_sizes(spark, sf_dir, whole=False):
+    return blocking.block_sizes(_key_sides(docs(spark, sf_dir, whole))[1])
 
 
 @query(f"{PARTS}, {BLOCKS} SELECT channel, count(*) AS keys, round(avg(size), 6) AS mean_size, max(size) AS max_size FROM blk GROUP BY channel")
@@ -287,8 +291,8 @@ def _shown(c: DataFrame) -> DataFrame:
 
 
 @query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} {TOP}")
-def blocking_topk(spark, sf_dir):
-    return _shown(_candidates(docs(spark, sf_dir), 100, 5))
+def blocking_topk(spark, sf_dir, whole=False):
+    return _shown(_candidates(docs(spark, sf_dir, whole), 100, 5))
 
 
 @query(f"{PARTS}, {BLOCKS}, {_hits(8)}, {_top(10)} {TOP}")
@@ -301,14 +305,14 @@ tn AS (SELECT t.code, t.channel, n.size FROM tk t JOIN n USING (country, channel
 SELECT c.anchor, c.code, coalesce(t1.size, 0) AS t_name_cnt, coalesce(t2.size, 0) AS t_addr_cnt, coalesce(a1.size, 0) AS a_name_cnt, coalesce(a2.size, 0) AS a_addr_cnt FROM top c
 LEFT JOIN tn t1 ON t1.code = c.code AND t1.channel = 'name_exact' LEFT JOIN tn t2 ON t2.code = c.code AND t2.channel = 'addr_exact'
 LEFT JOIN an a1 ON a1.anchor = c.anchor AND a1.channel = 'name_exact' LEFT JOIN an a2 ON a2.anchor = c.anchor AND a2.channel = 'addr_exact'""")
-def pool_counts(spark, sf_dir):
-    a, t = _key_sides(docs(spark, sf_dir))
+def pool_counts(spark, sf_dir, whole=False):
+    a, t = _key_sides(docs(spark, sf_dir, whole))
     return blocking.pool_counts(blocking.candidates(a, t, 100, 5), a, t).select("anchor", "code", "t_name_cnt", "t_addr_cnt", "a_name_cnt", "a_addr_cnt")
 
 
 @query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT entity_id FROM p WHERE code IN (SELECT code FROM top)")
-def needed_records(spark, sf_dir):
-    p = docs(spark, sf_dir)
+def needed_records(spark, sf_dir, whole=False):
+    p = docs(spark, sf_dir, whole)
     return blocking.needed_records(p, _candidates(p, 100, 5)).select("entity_id")
 
 
@@ -321,8 +325,8 @@ f AS (SELECT c.*, coalesce(len(list_intersect(a.ntok, t.ntok)) / nullif(len(list
   FROM top c JOIN p a ON a.src = 1 AND a.id = c.anchor JOIN p t ON t.code = c.code),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY round(formula, 9) DESC, code) AS fr FROM f)
 SELECT anchor, code, CAST(ret_rank AS INT) AS ret_rank FROM r WHERE ret_rank < 3 OR fr <= 2""")
-def formula_select(spark, sf_dir):
-    p = docs(spark, sf_dir)
+def formula_select(spark, sf_dir, whole=False):
+    p = docs(spark, sf_dir, whole)
     a, t = sides(p)
     wide = _candidates(p, 100, 30).join(a.select("anchor", F.col("ntok").alias("na")), "anchor").join(t.select("code", F.col("ntok").alias("nt")), "code")
     wide = wide.withColumn("formula", F.round(select.formula(_jaccard(F.col("na"), F.col("nt")), F.lit(None).cast("double"), F.col("score")), 9))
@@ -669,24 +673,24 @@ def doc_truth(spark, sf_dir) -> DataFrame:
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT c.anchor, c.code, CAST(t.code IS NOT NULL AS INT) AS label FROM top c LEFT JOIN truth t ON t.anchor = c.anchor AND t.code = c.code")
-def label_pairs(spark, sf_dir):
-    return labels.label(_candidates(docs(spark, sf_dir), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
+def label_pairs(spark, sf_dir, whole=False):
+    return labels.label(_candidates(docs(spark, sf_dir, whole), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(3)}, {_top(1)} SELECT t.anchor, t.code FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code WHERE c.code IS NULL")
-def missing_positives(spark, sf_dir):
-    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir), 3, 1), ["anchor", "code"])
+def missing_positives(spark, sf_dir, whole=False):
+    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), 3, 1), ["anchor", "code"])
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT b.channel, round(avg(CASE WHEN (c.channels & b.bit) <> 0 THEN 1.0 ELSE 0 END), 6) AS share FROM top c JOIN truth t ON t.anchor = c.anchor AND t.code = c.code, (VALUES {', '.join(f"('{c}', {BITS[c]})" for c in CHANNELS)}) AS b(channel, bit) GROUP BY b.channel")
-def channel_shares(spark, sf_dir):
-    found = labels.label(_candidates(docs(spark, sf_dir), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
+def channel_shares(spark, sf_dir, whole=False):
+    found = labels.label(_candidates(docs(spark, sf_dir, whole), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
     return rounded(metrics.channel_shares(found, {c: BITS[c] for c in CHANNELS}))
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT CASE WHEN c.code IS NULL THEN 'never found' WHEN c.ret_rank < 1 THEN 'below 1' WHEN c.ret_rank < 3 THEN 'below 3' ELSE 'over 3' END AS band, count(*) AS n FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code GROUP BY 1")
-def rank_depth(spark, sf_dir):
-    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir), 100, 5), (1, 3))
+def rank_depth(spark, sf_dir, whole=False):
+    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), 100, 5), (1, 3))
 
 
 @query()
@@ -734,14 +738,14 @@ EXACT = f"""WITH {DOC_RECORDS}, x AS (SELECT *, trim(regexp_replace(replace(lowe
 
 
 @query(f"{EXACT} SELECT entity_id, count(*) OVER (PARTITION BY country, n, a) AS copies FROM x WHERE length(n) >= 5 AND length(a) >= 12 QUALIFY count(*) OVER (PARTITION BY country, n, a) > 1")
-def exact_duplicates(spark, sf_dir):
-    return duplicates.exact_groups(doc_records(spark, sf_dir)).select("entity_id", "copies")
+def exact_duplicates(spark, sf_dir, whole=False):
+    return duplicates.exact_groups(doc_records(spark, sf_dir, whole)).select("entity_id", "copies")
 
 
 @query(f"""{EXACT}, g AS (SELECT CAST(src AS BIGINT) * 2000000000 + id AS code, country, n, a FROM x WHERE length(n) >= 5 AND length(a) >= 12 AND src <> 1), m AS (SELECT code // 7 AS anchor, code, (code % 100) / 100 AS p FROM g WHERE code % 3 = 0)
 SELECT anchor, code, round(max(p), 6) AS p FROM (SELECT anchor, code, p FROM m UNION ALL SELECT m.anchor, o.code, m.p FROM m JOIN g s ON s.code = m.code JOIN g o ON o.country = s.country AND o.n = s.n AND o.a = s.a) GROUP BY ALL""")
-def duplicate_expansion(spark, sf_dir):
-    r = records.with_codes(doc_records(spark, sf_dir)).filter("source <> 1")
+def duplicate_expansion(spark, sf_dir, whole=False):
+    r = records.with_codes(doc_records(spark, sf_dir, whole)).filter("source <> 1")
     groups = duplicates.exact_groups(r)
     long = r.withColumn("n", duplicates.exact_text("business_name")).withColumn("a", duplicates.exact_text("business_address")).filter("length(n) >= 5 and length(a) >= 12")
     matches = long.filter("code % 3 = 0").select(F.floor(F.col("code") / 7).alias("anchor"), "code", ((F.col("code") % 100) / 100).alias("p"))
@@ -785,3 +789,16 @@ def event_windows(spark, sf_dir):
 
     out = event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# ---------------------------------------------------------------- whole texts
+
+WHOLE_RECORDS = DOC_RECORDS.replace(" + 2, 200)", " + 2)")
+WHOLE = (
+    "keys_addr_exact", "token_freq", "block_sizes", "blocking_topk", "pool_counts", "needed_records", "formula_select", "label_pairs", "missing_positives", "channel_shares", "rank_depth",
+    "exact_duplicates", "duplicate_expansion",
+)
+
+for _n in WHOLE:
+    QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], whole=True)
+    SQL[f"{_n}_whole"] = SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS)

@@ -8,3 +8,17 @@ def test_gbt_match_scores_every_pair(spark):
     got = [(r["anchor"], r["target"]) for r in core.QUERIES["gbt_match"](spark, sf_dir).collect()]
     want = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
     assert len(got) == len(want) > 20_000 and set(got) == set(map(tuple, want))
+
+
+def documents(spark, tmp_path, bodies):
+    rows = [(i, f"amber birch\n{body}", "en", f"src{i}") for i, body in enumerate(bodies, 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_words_after_200_characters_count(spark, tmp_path):
+    same = "filler " * 40
+    sf_dir = documents(spark, tmp_path, [same + "cedar", same + "cedar", same + "delta"])
+    assert [r["copies"] for r in core.QUERIES["exact_duplicates_whole"](spark, sf_dir).collect()] == [2, 2]
+    assert {r["token"]: r["df"] for r in core.QUERIES["token_freq_whole"](spark, sf_dir).filter("field = 'a' and scope = '*'").collect()} == {"filler": 3, "cedar": 2}
+    assert sorted(r["key"].split()[-1] for r in core.QUERIES["keys_addr_exact_whole"](spark, sf_dir).collect()) == ["cedar", "cedar", "delta"]
