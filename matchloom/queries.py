@@ -3,7 +3,8 @@
 Documents and parts serve as records, line items as scored pairs (see the views below).  Doubles are rounded on both
 sides, since sums depend on their order in the last digits.
 
-The SQL of some queries reads 200 characters of a document's body; ``<query>_whole`` reads whole texts (last section).
+The SQL of some queries reads 200 characters of a document's body or searches with small caps; ``<query>_whole`` reads
+whole texts with the caps of the plans (last section).
 """
 
 from __future__ import annotations
@@ -291,8 +292,8 @@ def _shown(c: DataFrame) -> DataFrame:
 
 
 @query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} {TOP}")
-def blocking_topk(spark, sf_dir, whole=False):
-    return _shown(_candidates(docs(spark, sf_dir, whole), 100, 5))
+def blocking_topk(spark, sf_dir, whole=False, cap=100, k=5):
+    return _shown(_candidates(docs(spark, sf_dir, whole), cap, k))
 
 
 @query(f"{PARTS}, {BLOCKS}, {_hits(8)}, {_top(10)} {TOP}")
@@ -305,15 +306,15 @@ tn AS (SELECT t.code, t.channel, n.size FROM tk t JOIN n USING (country, channel
 SELECT c.anchor, c.code, coalesce(t1.size, 0) AS t_name_cnt, coalesce(t2.size, 0) AS t_addr_cnt, coalesce(a1.size, 0) AS a_name_cnt, coalesce(a2.size, 0) AS a_addr_cnt FROM top c
 LEFT JOIN tn t1 ON t1.code = c.code AND t1.channel = 'name_exact' LEFT JOIN tn t2 ON t2.code = c.code AND t2.channel = 'addr_exact'
 LEFT JOIN an a1 ON a1.anchor = c.anchor AND a1.channel = 'name_exact' LEFT JOIN an a2 ON a2.anchor = c.anchor AND a2.channel = 'addr_exact'""")
-def pool_counts(spark, sf_dir, whole=False):
+def pool_counts(spark, sf_dir, whole=False, cap=100, k=5):
     a, t = _key_sides(docs(spark, sf_dir, whole))
-    return blocking.pool_counts(blocking.candidates(a, t, 100, 5), a, t).select("anchor", "code", "t_name_cnt", "t_addr_cnt", "a_name_cnt", "a_addr_cnt")
+    return blocking.pool_counts(blocking.candidates(a, t, cap, k), a, t).select("anchor", "code", "t_name_cnt", "t_addr_cnt", "a_name_cnt", "a_addr_cnt")
 
 
 @query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT entity_id FROM p WHERE code IN (SELECT code FROM top)")
-def needed_records(spark, sf_dir, whole=False):
+def needed_records(spark, sf_dir, whole=False, cap=100, k=5):
     p = docs(spark, sf_dir, whole)
-    return blocking.needed_records(p, _candidates(p, 100, 5)).select("entity_id")
+    return blocking.needed_records(p, _candidates(p, cap, k)).select("entity_id")
 
 
 def _jaccard(a: Column, t: Column) -> Column:
@@ -325,12 +326,12 @@ f AS (SELECT c.*, coalesce(len(list_intersect(a.ntok, t.ntok)) / nullif(len(list
   FROM top c JOIN p a ON a.src = 1 AND a.id = c.anchor JOIN p t ON t.code = c.code),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY round(formula, 9) DESC, code) AS fr FROM f)
 SELECT anchor, code, CAST(ret_rank AS INT) AS ret_rank FROM r WHERE ret_rank < 3 OR fr <= 2""")
-def formula_select(spark, sf_dir, whole=False):
+def formula_select(spark, sf_dir, whole=False, cap=100, k=3, k_wide=30, k_formula=2):
     p = docs(spark, sf_dir, whole)
     a, t = sides(p)
-    wide = _candidates(p, 100, 30).join(a.select("anchor", F.col("ntok").alias("na")), "anchor").join(t.select("code", F.col("ntok").alias("nt")), "code")
+    wide = _candidates(p, cap, k_wide).join(a.select("anchor", F.col("ntok").alias("na")), "anchor").join(t.select("code", F.col("ntok").alias("nt")), "code")
     wide = wide.withColumn("formula", F.round(select.formula(_jaccard(F.col("na"), F.col("nt")), F.lit(None).cast("double"), F.col("score")), 9))
-    return select.reselect(wide, 3, 2).select("anchor", "code", "ret_rank")
+    return select.reselect(wide, k, k_formula).select("anchor", "code", "ret_rank")
 
 
 _EXTRA = "addr_pair"
@@ -345,10 +346,10 @@ xt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, source O
 SELECT coalesce(c.anchor, x.anchor) AS anchor, coalesce(c.code, x.code) AS code, round(CAST(coalesce(c.score, x.score) AS DOUBLE), 3) AS score,
   CAST(coalesce(c.channels, 0) | CASE WHEN x.code IS NULL THEN 0 ELSE {BITS[_EXTRA]} END AS INT) AS channels, CAST(coalesce(c.ret_rank, 150) AS INT) AS ret_rank
 FROM top c FULL JOIN xt x ON c.anchor = x.anchor AND c.code = x.code""")
-def extra_channel_quota(spark, sf_dir):
+def extra_channel_quota(spark, sf_dir, cap=8, k=3, extra_cap=50):
     p = parts(spark, sf_dir)
     a, t = _key_sides(p, CHANNELS + (_EXTRA,))
-    found = select.add_quota(blocking.candidates(a, t, 8, 3, CHANNELS), blocking.candidates(a, t, 50, 2, (_EXTRA,)), 150)
+    found = select.add_quota(blocking.candidates(a, t, cap, k, CHANNELS), blocking.candidates(a, t, extra_cap, 2, (_EXTRA,)), 150)
     return _shown(found).drop("source")
 
 
@@ -445,7 +446,7 @@ def pair_features(spark, sf_dir):
     freq = stats.token_freq(p)
     a, t = sides(p)
     ak, tk = keys.keys(a, CHANNELS, ("anchor",)), keys.keys(t, CHANNELS, ("code",))
-    found = blocking.pool_counts(blocking.candidates(ak, tk, 20, 5), ak, tk)
+    found = blocking.pool_counts(blocking.candidates(ak, tk), ak, tk)
     return rounded(features.features(found, a, t, freq), 4)
 
 
@@ -453,7 +454,7 @@ def pair_features(spark, sf_dir):
 def cheap_pair_features(spark, sf_dir):
     a, t = sides(parts(spark, sf_dir))
     ak, tk = keys.keys(a, CHANNELS, ("anchor",)), keys.keys(t, CHANNELS, ("code",))
-    return rounded(features.cheap_features(blocking.pool_counts(blocking.candidates(ak, tk, 20, 5), ak, tk), a, t), 4)
+    return rounded(features.cheap_features(blocking.pool_counts(blocking.candidates(ak, tk), ak, tk), a, t), 4)
 
 
 # ---------------------------------------------------------------- context, claims, decisions
@@ -673,30 +674,30 @@ def doc_truth(spark, sf_dir) -> DataFrame:
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT c.anchor, c.code, CAST(t.code IS NOT NULL AS INT) AS label FROM top c LEFT JOIN truth t ON t.anchor = c.anchor AND t.code = c.code")
-def label_pairs(spark, sf_dir, whole=False):
-    return labels.label(_candidates(docs(spark, sf_dir, whole), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
+def label_pairs(spark, sf_dir, whole=False, cap=100, k=5):
+    return labels.label(_candidates(docs(spark, sf_dir, whole), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(3)}, {_top(1)} SELECT t.anchor, t.code FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code WHERE c.code IS NULL")
-def missing_positives(spark, sf_dir, whole=False):
-    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), 3, 1), ["anchor", "code"])
+def missing_positives(spark, sf_dir, whole=False, cap=3, k=1):
+    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), cap, k), ["anchor", "code"])
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT b.channel, round(avg(CASE WHEN (c.channels & b.bit) <> 0 THEN 1.0 ELSE 0 END), 6) AS share FROM top c JOIN truth t ON t.anchor = c.anchor AND t.code = c.code, (VALUES {', '.join(f"('{c}', {BITS[c]})" for c in CHANNELS)}) AS b(channel, bit) GROUP BY b.channel")
-def channel_shares(spark, sf_dir, whole=False):
-    found = labels.label(_candidates(docs(spark, sf_dir, whole), 100, 5), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
+def channel_shares(spark, sf_dir, whole=False, cap=100, k=5):
+    found = labels.label(_candidates(docs(spark, sf_dir, whole), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
     return rounded(metrics.channel_shares(found, {c: BITS[c] for c in CHANNELS}))
 
 
 @query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT CASE WHEN c.code IS NULL THEN 'never found' WHEN c.ret_rank < 1 THEN 'below 1' WHEN c.ret_rank < 3 THEN 'below 3' ELSE 'over 3' END AS band, count(*) AS n FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code GROUP BY 1")
-def rank_depth(spark, sf_dir, whole=False):
-    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), 100, 5), (1, 3))
+def rank_depth(spark, sf_dir, whole=False, cap=100, k=5):
+    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), cap, k), (1, 3))
 
 
 @query()
 def bootstrap_interval(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    return rounded(metrics.bootstrap(s.select("anchor", (F.col("f05") - 0.5).alias("delta")), 100), 4)
+    return rounded(metrics.bootstrap(s.select("anchor", (F.col("f05") - 0.5).alias("delta"))), 4)
 
 
 # ---------------------------------------------------------------- splits, samples, duplicates, outputs
@@ -799,6 +800,22 @@ WHOLE = (
     "exact_duplicates", "duplicate_expansion",
 )
 
-for _n in WHOLE:
-    QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], whole=True)
-    SQL[f"{_n}_whole"] = SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS)
+CAP, K, K_WIDE, K_FORMULA = 3000, 25, 150, 10  # those of the plans
+SEARCHES = {n: {"cap": CAP, "k": K} for n in ("blocking_topk", "pool_counts", "needed_records", "label_pairs", "missing_positives", "channel_shares", "rank_depth")}
+SEARCHES["formula_select"] = {"cap": CAP, "k": K, "k_wide": K_WIDE, "k_formula": K_FORMULA}
+SEARCHES["extra_channel_quota"] = {"cap": CAP, "k": K, "extra_cap": CAP}
+
+
+def _searched(sql: str) -> str:
+    """The SQL of a query with the caps of the plans."""
+    for cap in (100, 8, 3):
+        sql = sql.replace(_hits(cap), _hits(CAP))
+    sql = sql.replace(_top(30), _top(K_WIDE)).replace("ret_rank < 3 OR fr <= 2", f"ret_rank < {K} OR fr <= {K_FORMULA}").replace("count(*) <= 50)", f"count(*) <= {CAP})")
+    for k in (5, 3, 1):
+        sql = sql.replace(_top(k), _top(K))
+    return sql
+
+
+for _n in (*WHOLE, "extra_channel_quota"):
+    QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], **({"whole": True} if _n in WHOLE else {}), **SEARCHES.get(_n, {}))
+    SQL[f"{_n}_whole"] = _searched(SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS))

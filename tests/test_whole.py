@@ -22,3 +22,13 @@ def test_words_after_200_characters_count(spark, tmp_path):
     assert [r["copies"] for r in core.QUERIES["exact_duplicates_whole"](spark, sf_dir).collect()] == [2, 2]
     assert {r["token"]: r["df"] for r in core.QUERIES["token_freq_whole"](spark, sf_dir).filter("field = 'a' and scope = '*'").collect()} == {"filler": 3, "cedar": 2}
     assert sorted(r["key"].split()[-1] for r in core.QUERIES["keys_addr_exact_whole"](spark, sf_dir).collect()) == ["cedar", "cedar", "delta"]
+
+
+def test_search_keeps_blocks_of_more_than_100(spark, tmp_path):
+    # 1 anchor (source 1) and 120 targets with its text: one block of 120 a key
+    rows = [(i, "amber birch\ncedar delta", "en", "src3" if i == 1 else "src1") for i in range(1, 122)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda n: core.QUERIES[n](spark, str(tmp_path)).count()
+    assert run("blocking_topk") == 0 and run("blocking_topk_whole") == 25
+    assert run("missing_positives") == 120 and run("missing_positives_whole") == 95
+    assert run("needed_records_whole") == run("label_pairs_whole") == 25
