@@ -819,3 +819,10 @@ def _searched(sql: str) -> str:
 for _n in (*WHOLE, "extra_channel_quota"):
     QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], **({"whole": True} if _n in WHOLE else {}), **SEARCHES.get(_n, {}))
     SQL[f"{_n}_whole"] = _searched(SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS))
+
+
+@query()
+def chargram_topk_whole(spark, sf_dir):
+    a, t = sides(docs(spark, sf_dir, whole=True))
+    found = chargram.gram_candidates(chargram.gram_rows(a, "anchor"), chargram.gram_rows(t, "code"), t)
+    return found.select("anchor", "code", F.round("score", 2).alias("score"), "shared")

@@ -32,3 +32,16 @@ def test_search_keeps_blocks_of_more_than_100(spark, tmp_path):
     assert run("blocking_topk") == 0 and run("blocking_topk_whole") == 25
     assert run("missing_positives") == 120 and run("missing_positives_whole") == 95
     assert run("needed_records_whole") == run("label_pairs_whole") == 25
+
+
+def test_chargrams_of_addresses_in_large_groups(spark, tmp_path):
+    # 60 targets share only a long address with the anchor: over the cap of 40, no name gram in common
+    name = lambda i: "qqqqqqqq" if i == 1 else f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 4
+    body = "filler " * 40 + "zwischenraum"
+    rows = [(i, f"{name(i)}\n{body}", "en", "src3" if i == 1 else "src1") for i in range(1, 62)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert core.QUERIES["chargram_topk"](spark, str(tmp_path)).count() == 0
+    got = core.QUERIES["chargram_topk_whole"](spark, str(tmp_path)).collect()
+    squeezed = body.replace(" ", "")
+    grams = {squeezed[i : i + 5] for i in range(len(squeezed) - 4)}
+    assert len(got) == 30 and {r["shared"] for r in got} == {len(grams)}
