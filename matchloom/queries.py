@@ -3,8 +3,8 @@
 Documents and parts serve as records, line items as scored pairs (see the views below).  Doubles are rounded on both
 sides, since sums depend on their order in the last digits.
 
-The SQL of some queries reads 200 characters of a document's body or searches with small caps; ``<query>_whole`` reads
-whole texts with the caps of the plans (last section).
+The SQL of some queries reads 200 characters of a document's body or searches with small caps or
+filters its input by id; ``<query>_whole`` reads whole texts and tables with the caps of the plans (last section).
 """
 
 from __future__ import annotations
@@ -159,9 +159,9 @@ UNION ALL SELECT 'record_without_truth', (SELECT count(*) FROM o WHERE a NOT IN
 UNION ALL SELECT 'unknown_target', (SELECT count(*) FROM e WHERE t NOT IN (SELECT t FROM known))
 UNION ALL SELECT 'repeated_in_list', (SELECT count(*) FROM (SELECT a, t FROM e GROUP BY a, t HAVING count(*) > 1))
 UNION ALL SELECT 'claimed_twice', (SELECT count(*) FROM (SELECT t FROM (SELECT DISTINCT a, t FROM e) GROUP BY t HAVING count(*) > 1))""")
-def truth_audit(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 7 <> 0").select(F.concat(F.lit("S1-"), "o_orderkey").alias("entity_id"))
-    t = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 11 <> 0").select(F.concat(F.lit("S2-"), "p_partkey").alias("entity_id"))
+def truth_audit(spark, sf_dir, whole=False):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("true" if whole else "o_orderkey % 7 <> 0").select(F.concat(F.lit("S1-"), "o_orderkey").alias("entity_id"))
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").filter("true" if whole else "p_partkey % 11 <> 0").select(F.concat(F.lit("S2-"), "p_partkey").alias("entity_id"))
     return labels.truth_audit(o, t, _truth_lists(spark, sf_dir))
 
 
@@ -193,8 +193,8 @@ def address_views(spark, sf_dir):
 
 @query("""SELECT o_orderkey, regexp_replace(concat(o_orderkey, '-', o_custkey, ' 00', o_orderkey), '([0-9])-([0-9])', '\\1\\2', 'g') AS joined,
   CASE WHEN ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') = '' THEN '0' ELSE ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') END AS bare FROM orders WHERE o_orderkey > 9""")
-def number_forms(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey > 9")
+def number_forms(spark, sf_dir, whole=False):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("true" if whole else "o_orderkey > 9")
     return o.select("o_orderkey", tx.join_hyphens(F.concat("o_orderkey", F.lit("-"), "o_custkey", F.lit(" 00"), "o_orderkey")).alias("joined"), tx.without_zeros(F.substring(F.col("o_orderkey").cast("string"), 2, 30)).alias("bare"))
 
 
@@ -547,8 +547,8 @@ def decide_expected_f05(spark, sf_dir):
 
 @query(f"""WITH {PAIR_VIEW}, {OWNER}, free AS (SELECT * FROM pairs WHERE target NOT IN (SELECT target FROM owned WHERE keep AND anchor % 2 = 0) AND p >= 0.5)
 SELECT anchor, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY p DESC, anchor) AS rn FROM free) WHERE rn = 1""")
-def decide_unclaimed(spark, sf_dir):
-    claimed = _owned(spark, sf_dir).filter("keep and anchor % 2 = 0")
+def decide_unclaimed(spark, sf_dir, whole=False):
+    claimed = _owned(spark, sf_dir).filter("keep" if whole else "keep and anchor % 2 = 0")
     return decide.unclaimed_rescue(pairs(spark, sf_dir), claimed, 0.5).select("anchor", "target")
 
 
@@ -648,19 +648,19 @@ reasons AS (SELECT t.anchor, t.target, CASE WHEN f.p IS NULL THEN 'not_retrieved
   UNION ALL SELECT anchor, target, 'false_positive' FROM found WHERE keep AND label = 0)"""
 
 
-def _reasons(spark, sf_dir) -> DataFrame:
+def _reasons(spark, sf_dir, whole=False) -> DataFrame:
     scored = _owned(spark, sf_dir)
-    return metrics.error_reasons(pairs(spark, sf_dir).filter("label = 1"), scored.filter("target % 5 <> 0"), 0.6)
+    return metrics.error_reasons(pairs(spark, sf_dir).filter("label = 1"), scored.filter("true" if whole else "target % 5 <> 0"), 0.6)
 
 
 @query(f"WITH {REASONS} SELECT reason, count(*) AS n FROM reasons GROUP BY reason")
-def error_reasons(spark, sf_dir):
-    return _reasons(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
+def error_reasons(spark, sf_dir, whole=False):
+    return _reasons(spark, sf_dir, whole).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {REASONS}, c AS (SELECT anchor, count(*) AS errors FROM reasons GROUP BY anchor) SELECT r.reason, count(*) AS n, round(sum((1 - s.f05) / c.errors), 4) AS loss FROM reasons r JOIN c USING (anchor) JOIN scores s USING (anchor) GROUP BY r.reason")
-def loss_by_reason(spark, sf_dir):
-    return rounded(metrics.loss_by_reason(_reasons(spark, sf_dir), _scores(spark, sf_dir)), 4)
+def loss_by_reason(spark, sf_dir, whole=False):
+    return rounded(metrics.loss_by_reason(_reasons(spark, sf_dir, whole), _scores(spark, sf_dir)), 4)
 
 
 DOC_TRUTH = "truth AS (SELECT a.id AS anchor, CAST(t.src AS BIGINT) * 2000000000 + t.id AS code FROM (SELECT d.*, md5(x.text) AS h FROM doc_records d JOIN documents x ON x.doc_id = d.id) a JOIN (SELECT d.*, md5(x.text) AS h FROM doc_records d JOIN documents x ON x.doc_id = d.id) t ON a.h = t.h AND a.country = t.country WHERE a.src = 1 AND t.src <> 1)"
@@ -749,7 +749,7 @@ def duplicate_expansion(spark, sf_dir, whole=False):
     r = records.with_codes(doc_records(spark, sf_dir, whole)).filter("source <> 1")
     groups = duplicates.exact_groups(r)
     long = r.withColumn("n", duplicates.exact_text("business_name")).withColumn("a", duplicates.exact_text("business_address")).filter("length(n) >= 5 and length(a) >= 12")
-    matches = long.filter("code % 3 = 0").select(F.floor(F.col("code") / 7).alias("anchor"), "code", ((F.col("code") % 100) / 100).alias("p"))
+    matches = long.filter("true" if whole else "code % 3 = 0").select(F.floor(F.col("code") / 7).alias("anchor"), "code", ((F.col("code") % 100) / 100).alias("p"))
     return rounded(duplicates.expand_matches(matches, groups))
 
 
@@ -792,13 +792,14 @@ def event_windows(spark, sf_dir):
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-# ---------------------------------------------------------------- whole texts
+# ---------------------------------------------------------------- whole texts, tables and searches
 
 WHOLE_RECORDS = DOC_RECORDS.replace(" + 2, 200)", " + 2)")
 WHOLE = (
     "keys_addr_exact", "token_freq", "block_sizes", "blocking_topk", "pool_counts", "needed_records", "formula_select", "label_pairs", "missing_positives", "channel_shares", "rank_depth",
-    "exact_duplicates", "duplicate_expansion",
+    "exact_duplicates", "duplicate_expansion", "truth_audit", "error_reasons", "loss_by_reason", "decide_unclaimed", "number_forms",
 )
+FILTERS = (" WHERE o_orderkey % 7 <> 0", " WHERE p_partkey % 11 <> 0", " WHERE o_orderkey > 9", " AND anchor % 2 = 0", " WHERE target % 5 <> 0", " WHERE code % 3 = 0")
 
 CAP, K, K_WIDE, K_FORMULA = 3000, 25, 150, 10  # those of the plans
 SEARCHES = {n: {"cap": CAP, "k": K} for n in ("blocking_topk", "pool_counts", "needed_records", "label_pairs", "missing_positives", "channel_shares", "rank_depth")}
@@ -806,6 +807,12 @@ SEARCHES["formula_select"] = {"cap": CAP, "k": K, "k_wide": K_WIDE, "k_formula":
 SEARCHES["extra_channel_quota"] = {"cap": CAP, "k": K, "extra_cap": CAP}
 
 
+def _unfiltered(sql: str) -> str:
+    for f in FILTERS:
+        sql = sql.replace(f, "")
+    return sql
+
+
 def _searched(sql: str) -> str:
     """The SQL of a query with the caps of the plans."""
     for cap in (100, 8, 3):
@@ -818,7 +825,7 @@ def _searched(sql: str) -> str:
 
 for _n in (*WHOLE, "extra_channel_quota"):
     QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], **({"whole": True} if _n in WHOLE else {}), **SEARCHES.get(_n, {}))
-    SQL[f"{_n}_whole"] = _searched(SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS))
+    SQL[f"{_n}_whole"] = _searched(_unfiltered(SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS)))
 
 
 @query()
