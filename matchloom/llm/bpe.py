@@ -1,4 +1,4 @@
-"""BPE encoding and decoding by a tokenization automaton.
+"""BPE encoding and decoding by a tokenization automaton, compiled once into flat tables.
 
 The automaton reads tokens: one state for the start and one for each token, reached by that token's arcs.  It is
 compiled from the merge list by successive merge gadgets.  The gadget of merge r, (x, y) -> z, looks at the path
@@ -6,8 +6,14 @@ x y: if the gadgets so far left it, the path is removed and an arc z takes its p
 x and the right ends of y, each with the merge that used it up.  A pair of neighbouring tokens (u, v) therefore
 has an arc exactly if no gadget (x, y) met a right end x of u and a left end y of v while both stood; of equal
 merges the left one goes first.  What the automaton accepts are the correct tokenizations, each prefix of one is
-one, and a string has exactly one, so a word has a single state at each position.  Rows of the
-transition table are filled when first used (all 49,000 squared arcs would not fit) and kept for the process.
+one, and a string has exactly one, so a word has a single state at each position.
+
+Tables.  *Arcs*: tokens are numbered in preorder of the tree in which a token hangs below its left part, ordered by
+merge, so one gadget takes a token and a run of numbers from a state.  A row lists the ranges of numbers that its
+state has no arc to; all others are the default arc.  *Labels*: the bytes of all tokens form a double array (the
+last byte of a word is a symbol of its own).  Encoding is look-ups only: the labels that begin at each position,
+then, by ascending position, the one of them that an arc reaches; that state is final, nothing is taken back, and
+the work is linear in the word.  Words of a batch advance together; very long words alone.
 
 Texts are normalised and pre-split as the tokenizer file says (NFC, lower case letter by letter, words, single
 digits, runs of other marks), and special tokens in a text stay whole.  Decoding emits the labels of the arcs
@@ -22,19 +28,27 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-import re
 import unicodedata
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import as_bytes, tidy
+from matchloom.llm.common import tidy
 
-NEVER, SHIFT = 1 << 60, 0x1000
+NEVER, LAST, LONG = 1 << 60, 256, 512
+ROW = np.int64(1 << 20)  # more than the tokens of any file
+#: The words of the tokenizer file, with white space as Unicode has it, in the syntax of Arrow's expressions.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x85\p{Z}\p{L}\p{N}]+"
+#: Texts that go through the Python splitter: those with special tokens, with controls that Arrow calls space, with
+#: the one letter whose lower case is two, or with anything outside blocks that are composed (NFC) as they stand.
+HARD = r"<\||[\x1c-\x1f\x{130}]|[^\x00-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 
 
 def default_path() -> str:
@@ -50,16 +64,21 @@ def byte_marks() -> list[str]:
     return [chr(b if b in own else next(more)) for b in range(256)]
 
 
-class Automaton:
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str, most: int = 2_000_000):
-        self.end, self.label = end, {i: t for t, i in vocab.items()}
+class Gadgets:
+    """The ends of every token that the successive merge gadgets leave; only compiling needs them."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
         self.rank: dict[tuple[int, int], int] = {}
         #: token -> its right and left ends: (token, the merge that used it up)
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
+        #: left part -> (merge, token) of the tokens made from it; left token -> (merge, right token)
+        self.made: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.base: list[int] = []
         for mark in byte_marks():
             for symbol in (mark, mark + end):
                 if symbol in vocab:
+                    self.base.append(vocab[symbol])
                     self._state(vocab[symbol], [], [])
         for r, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
@@ -67,26 +86,7 @@ class Automaton:
             self.rank.setdefault((x, y), r)
             if alive:
                 self._state(z, [(t, min(until, r)) for t, until in self.right[y]], [(t, min(until, r)) for t, until in self.left[x]])
-        # Tokens as strings of one character a symbol: the end mark moves its letter's code point by SHIFT.
-        texts = {self.symbols(self.label[t]): t for t in self.right}
-        self.token = texts
-        self.root: dict = {}
-        for text, t in texts.items():
-            node = self.root
-            for c in text[:-1]:
-                node = node.setdefault(c, [None, {}])[1]
-            node.setdefault(text[-1], [None, {}])[0] = t
-        self.size = {t: len(x) for x, t in texts.items()}
-        self.shorter = {t: next((texts[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in texts), None) for x, t in texts.items()}
-        self.arcs: dict[int, bool] = {}
-        self.most = most
-
-    def symbols(self, marks: str) -> str:
-        """Byte marks, of which the last may carry the end mark, as one character a symbol."""
-        if marks.endswith(self.end) and len(marks) > len(self.end):
-            marks = marks[: -len(self.end)]
-            return marks[:-1] + chr(ord(marks[-1]) + SHIFT)
-        return marks
+                self.made[x].append((r, z))
 
     def _state(self, token: int, right: list[tuple[int, int]], left: list[tuple[int, int]]) -> None:
         self.right[token] = [(token, NEVER), *right]
@@ -101,70 +101,214 @@ class Automaton:
                     return False
         return True
 
-    def arc(self, u: int, v: int) -> bool:
-        key = u << 32 | v
-        found = self.arcs.get(key)
+
+class Automaton:
+    """Flat tables (a few megabytes), compiled once and shipped to the tasks."""
+
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str):
+        self.label = {i: t for t, i in vocab.items()}
+        gadgets = Gadgets(vocab, merges, end)
+        self._arcs(gadgets, {i for i, t in self.label.items() if not t.endswith(end)})
+        byte = {m: b for b, m in enumerate(byte_marks())}
+        words = {}
+        for t in gadgets.right:
+            marks = self.label[t]
+            final = marks.endswith(end) and len(marks) > len(end)
+            symbols = [byte[c] for c in (marks[: -len(end)] if final else marks)]
+            symbols[-1] += LAST * final
+            words[tuple(symbols)] = t
+        self._labels(words)
+        self.known: dict[int, bool] = {}
+
+    def _arcs(self, gadgets: Gadgets, inner: set[int]) -> None:
+        """Rows of missing arcs.  ``first[i], behind[i]`` are ``state * ROW + number`` of the i-th missing range."""
+        number, stop = {}, {}
+        for root in gadgets.base:
+            todo = [(root, False)]
+            while todo:
+                t, done = todo.pop()
+                if done:
+                    stop[t] = len(number)
+                    continue
+                number[t] = len(number)
+                todo.append((t, True))
+                todo += [(z, False) for _, z in reversed(gadgets.made.get(t, ()))]
+        taken = defaultdict(list)  # left token -> (merge, ranges of tokens that lose their arc)
+        for (x, y), r in gadgets.rank.items():
+            if x in number and y in number:
+                below = gadgets.made.get(y, ())
+                k = bisect_left(below, (r, -1))
+                begin = number[below[k][1]] if k < len(below) else stop[y]
+                taken[x].append((r, number[y], number[y] + 1, begin, stop[y]))
+        table = {x: np.array(sorted(rows), np.int64) for x, rows in taken.items()}
+        first, behind = [np.array([-1], np.int64)], [np.array([-1], np.int64)]
+        for u in sorted(inner & set(number)):
+            for x, used in gadgets.right[u]:
+                if x in table:
+                    rows = table[x][: np.searchsorted(table[x][:, 0], used)]
+                    first += [u * ROW + rows[:, 1], u * ROW + rows[:, 3]]
+                    behind += [u * ROW + rows[:, 2], u * ROW + rows[:, 4]]
+        begin, end = np.concatenate(first), np.concatenate(behind)
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        fresh = np.concatenate([[True], begin[1:] > end[:-1]])
+        self.first = begin[fresh]
+        self.behind = end[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(end) - 1]])]
+        self.number = np.zeros(max(self.label) + 1, np.int64)
+        self.number[list(number)] = list(number.values())
+
+    def _labels(self, words: dict[tuple[int, ...], int]) -> None:
+        """Double array of the labels: the child of node n by symbol s is ``base[n] + s`` if ``above`` of that is n."""
+        root: dict = {}
+        for symbols, t in words.items():
+            node = root
+            for s in symbols:
+                node = node.setdefault(s, {})
+            node[None] = t
+        self.longest = max(map(len, words))
+        size = 4 * sum(map(len, words)) + 8 * LAST
+        free = np.ones(size, bool)
+        free[0] = False
+        base, above, token = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        low, levels = 1, [(0, root)]
+        while levels:  # level by level, wide nodes first, so that narrow ones fill the gaps
+            levels.sort(key=lambda x: -len(x[1]))
+            below = []
+            for n, node in levels:
+                if None in node:
+                    token[n] = node[None]
+                symbols = np.array([s for s in node if s is not None], np.int64)
+                if not len(symbols):
+                    continue
+                if not free[low]:
+                    low += int(np.argmax(free[low:]))
+                start, step = low, 64
+                while True:
+                    slots = np.flatnonzero(free[start : start + step]) + start - symbols[0]
+                    slots = slots[slots >= 0]
+                    fits = slots[free[slots[:, None] + symbols].all(axis=1)] if len(slots) else slots
+                    if len(fits):
+                        break
+                    start, step = start + step, 2 * step
+                base[n] = b = int(fits[0])
+                for s, child in node.items():
+                    if s is not None:
+                        free[b + s], above[b + s] = False, n
+                        below.append((b + s, child))
+            levels = below
+        n = int(np.flatnonzero(~free)[-1]) + 2 * LAST + 1
+        self.base, self.above, self.token = base[:n], above[:n], token[:n]
+
+    def missing(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Whether the states ``u`` have no arc to the tokens ``v``."""
+        key = u * ROW + self.number[v]
+        return self.behind[np.searchsorted(self.first, key, "right") - 1] > key
+
+    def _found(self, symbols: np.ndarray, limit: np.ndarray, begin: int, behind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, behind, token) of all labels that begin in [begin, behind); ``limit`` is the end of each position's word."""
+        out = []
+        at, node, depth = np.arange(begin, behind), np.zeros(behind - begin, np.int32), 0
+        while len(at):
+            down = self.base[node] + symbols[at + depth]
+            ok = self.above[down] == node
+            at, node, depth = at[ok], down[ok], depth + 1
+            t = self.token[node]
+            hit = np.flatnonzero(t >= 0)
+            out.append((at[hit], at[hit] + depth, t[hit]))
+            more = np.flatnonzero(at + depth < limit[at])
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens, all tokens) of pre-split words, none of them empty."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        if len(size) and size.max() > LONG:
+            count, parts = np.zeros(len(words), np.int64), []
+            for k in np.split(np.arange(len(words)), np.unique([x for i in np.flatnonzero(size > LONG) for x in (i, i + 1)])):
+                if len(k) == 1 and size[k[0]] > LONG:
+                    parts.append(self.long_word(words[k[0]]))
+                    count[k] = len(parts[-1])
+                elif len(k):
+                    count[k], tokens = self.words([words[i] for i in k])
+                    parts.append(tokens)
+            return count, np.concatenate(parts)
+        if not len(size):
+            return size, np.zeros(0, np.int32)
+        stops = np.cumsum(size)
+        symbols = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        symbols[stops - 1] += LAST
+        begins = np.repeat(stops - size, size)
+        first, behind, token = self._found(symbols, np.repeat(stops, size), 0, len(symbols))
+        order = np.lexsort((behind, behind - begins[first]))
+        first, behind, token = first[order], behind[order], token[order]
+        alone = np.ones(len(behind), bool)  # the only label that ends here: every position has one
+        same = behind[1:] == behind[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        state, back = np.zeros(len(symbols), np.int32), np.zeros(len(symbols), np.int64)
+        steps = np.searchsorted((behind - begins[first]), np.arange(1, int(size.max()) + 2))
+        for a, b in zip(steps[:-1].tolist(), steps[1:].tolist()):
+            f, e, t = first[a:b], behind[a:b] - 1, token[a:b]
+            sure = alone[a:b] | (f == begins[f])
+            ask = np.flatnonzero(~alone[a:b] & (f > begins[f]))
+            sure[ask] = ~self.missing(state[f[ask] - 1].astype(np.int64), t[ask])
+            # A label of the whole front is a state only if no shorter one ends here.
+            state[e[sure]], back[e[sure]] = t[sure], f[sure]
+        return self._collect(state, back, stops, begins, size)
+
+    def _collect(self, state, back, stops, begins, size):
+        ends = np.zeros(len(state), bool)
+        at = stops - 1
+        while len(at):
+            ends[at] = True
+            before = back[at] - 1
+            at = before[back[at] > begins[at]]
+        return np.add.reduceat(ends.astype(np.int64), stops - size), state[ends]
+
+    def _missing_one(self, u: int, v: int) -> bool:
+        key = u << 20 | v
+        found = self.known.get(key)
         if found is None:
-            if len(self.arcs) > self.most:
-                self.arcs.clear()
-            found = self.arcs[key] = self._meets(u, v)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[key] = bool(self.missing(np.array([u], np.int64), np.array([v]))[0])
         return found
 
-    def encode(self, marks: str) -> list[int]:
-        """The tokens of one pre-split word of byte marks; its last symbol carries the end mark.
-
-        A walk over the automaton that takes the longest arc first.  A position has one state at most, so one
-        that has failed is never entered again and the walk ends after a number of steps linear in the word.
-        """
-        word = marks[:-1] + chr(ord(marks[-1]) + SHIFT)
-        whole = self.token.get(word)
-        if whole is not None:
-            return [whole]
-        root, arcs, size, shorter = self.root, self.arcs, self.size, self.shorter
-        out: list[int] = []
-        failed: set[int] = set()
-        at, last, n = 0, -1, len(word)
-        while True:
-            t, children = None, root  # the longest token from here
-            for c in word[at:]:
-                node = children.get(c)
-                if node is None:
-                    break
-                if node[0] is not None:
-                    t = node[0]
-                children = node[1]
-            while True:
-                if t is None:
-                    failed.add(at)
-                    t = out.pop()
-                    at -= size[t]
-                    last = out[-1] if out else -1
-                elif at + size[t] not in failed:
-                    if last < 0:
-                        break
-                    alive = arcs.get(last << 32 | t)
-                    if alive or alive is None and self.arc(last, t):
-                        break
-                t = shorter[t]
-            out.append(t)
-            at += size[t]
-            if at == n:
-                return out
-            last = t
+    def long_word(self, word: bytes, window: int = 1 << 16) -> np.ndarray:
+        """One word position by position, ``window`` symbols of labels at a time."""
+        n = len(word)
+        symbols = np.frombuffer(word, np.uint8).astype(np.int32)
+        symbols[-1] += LAST
+        state, back = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        waiting = [np.zeros(0, np.int64)] * 3
+        states: dict[int, int] = {-1: -1}
+        missing = self._missing_one
+        for begin in range(0, n, window):
+            stop = min(n, begin + window)
+            found = [np.concatenate(x) for x in zip(waiting, self._found(symbols, np.broadcast_to(np.int64(n), (n,)), begin, stop))]
+            now = found[1] <= stop
+            waiting = [x[~now] for x in found]
+            order = np.lexsort((found[0][now], found[1][now]))
+            for f, e, t in zip(*(x[now][order].tolist() for x in found)):
+                u = states[f - 1]
+                if u < 0 or not missing(u, t):
+                    states[e - 1] = t
+                    state[e - 1], back[e - 1] = t, f
+            for p in [p for p in states if 0 <= p < stop - self.longest]:
+                del states[p]
+        out, at = [], n
+        while at:
+            out.append(int(state[at - 1]))
+            at = int(back[at - 1])
+        return np.array(out[::-1], np.int32)
 
 
 class Splitter:
     """Normalises and pre-splits texts as the file says: NFC, lower case, words, single digits, other marks.
 
     ``split`` gives the words of a text; a special token is a word of its own, which no other word can equal.
-    Three patterns give the same words: for ASCII, for Latin letters, and for any text.
     """
 
-    ASCII = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+")
-    LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    #: Not for LATIN: other letters and marks, numbers that are not digits, controls that only Python calls space.
-    OTHER = re.compile("[^\x00-\u024f]|[\x1c-\x1f\u00b2\u00b3\u00b9\u00bc-\u00be]")
-
     def __init__(self, spec: dict):
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -174,147 +318,214 @@ class Splitter:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")")
 
-    def split(self, text: bytes) -> list[str]:
-        if b"<|" in text and self.special:
-            return [w for part in self.at_special.split(text.decode("utf-8", "replace")) for w in ([part] if part in self.special else self.plain(part))]
-        return self.plain(text.decode("utf-8", "replace"))
+    def split(self, text: str) -> list[str]:
+        if "<|" in text and self.special:
+            return [w for part in self.at_special.split(text) for w in ([part] if part in self.special else self.plain(part))]
+        return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
-        if not self.OTHER.search(text):
-            return (self.ASCII if text.isascii() else self.LATIN).findall(unicodedata.normalize("NFC", text).lower())
         text = unicodedata.normalize("NFC", text)
-        return self.words.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+        return self.words.findall("".join(c.lower() for c in text) if "\u03a3" in text else text.lower())
 
-    def slices(self, text: bytes, most: int = 1 << 20) -> Iterator[list[str]]:
-        """The words of a text, from some ``most`` bytes at a time; cuts lie in white space, which no word holds."""
-        at = 0
-        while len(text) - at > most:
-            cut = max(text.rfind(c, at + 1, at + most) for c in (b" ", b"\n", b"\t"))
-            if cut < 0:  # one word of more than a slice
-                cut = min((x for x in (text.find(c, at + most) for c in (b" ", b"\n", b"\t")) if x >= 0), default=len(text))
-            yield self.split(text[at:cut])
-            at = cut
-        yield self.split(text[at:])
 
+def pieces(text: str, most: int) -> Iterator[str]:
+    """A text in pieces of about ``most`` characters, cut in white space, which no word holds."""
+    at = 0
+    while len(text) - at > most:
+        cut = max(text.rfind(c, at + 1, at + most) for c in " \n\t")
+        if cut < 0:  # one word of more than a piece
+            cut = min((x for x in (text.find(c, at + most) for c in " \n\t") if x >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
-class Lines(dict):
-    """Word -> (its ids as text, their number, its decoded text); bounded."""
-
-    def __init__(self, of: "Tokenizer", most: int):
-        super().__init__()
-        self.of, self.most = of, most
 
-    def __missing__(self, word: str) -> tuple[str, int, str]:
-        ids = self.of.word_ids(word)
-        self[word] = found = (" ".join(map(self.of.numbers.__getitem__, ids)), len(ids), self.of.decode(ids))
-        return found
+def runs(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
+    """Texts from ``k`` to before ``j`` of some ``most`` bytes in all; a longer one is alone."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, k = np.concatenate([[0], np.cumsum(size)]), 0
+    while k < len(texts):
+        j = max(k + 1, int(np.searchsorted(total, total[k] + most, "right")) - 1)
+        yield k, j
+        k = j
 
 
 class Tokenizer:
-    """Encodes texts as the file's tokenizer does, with a bounded cache of words."""
+    """The compiled tables with the splitter; compiled on the driver, shipped to tasks."""
 
-    def __init__(self, path: str, most: int = 500_000, arcs: int = 2_000_000):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         if model["type"] != "BPE" or spec["decoder"]:
             raise ValueError("only BPE files without a decoder")
         self.splitter = Splitter(spec)
-        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"], arcs)
-        self.marks = byte_marks()
-        self.labels = self.automaton.label | {i: t for t, i in self.splitter.special.items()}
-        self.numbers = {i: str(i) for i in self.labels}
-        self.lines = Lines(self, most)
-
-    def word_ids(self, word: str) -> list[int]:
-        """The tokens of a normalised word."""
-        if word in self.splitter.special:
-            return [self.splitter.special[word]]
-        return self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.marks.__getitem__, word.encode("utf-8"))))
+        self.automaton = Automaton(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], model["end_of_word_suffix"])
+        names = self.automaton.label | {i: t for t, i in self.splitter.special.items()}
+        every = range(max(names) + 1)
+        self.labels = pa.array([names.get(i) for i in every], pa.string())
+        self.numbers = pa.array(list(map(str, every)), pa.string())
 
-    def encode(self, text: bytes) -> list[int]:
-        return [i for word in self.splitter.split(text) for i in self.word_ids(word)]
 
-    def decode(self, ids: list[int]) -> str:
-        return " ".join(map(self.labels.__getitem__, ids))
+class Words(dict):
+    """Word -> place of its ids; ``encode`` gives the ids of texts.  Bounded by ``most`` words."""
 
-    def digest(self, text: bytes, keep: list | None = None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by spaces, SHA-256 of the decoded text.
-
-        ``keep``, if given, gets the ids as arrays.
+    def __init__(self, tokenizer: Tokenizer, most: int = 400_000):
+        super().__init__()
+        self.of, self.most = tokenizer, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self[""] = 0
+        self.new: list[str] = []
+        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        place = self[word] = len(self)
+        return place
+
+    def learn(self, step: int = 20_000) -> None:
+        """Encodes the words that were looked up for the first time."""
+        starts, sizes, ids, n = [self.start], [self.size], [self.ids], len(self.ids)
+        special = self.of.splitter.special
+        for k in range(0, len(self.new), step):
+            part = self.new[k : k + step]
+            plain = [w for w in part if w not in special]
+            size, found = self.of.automaton.words([w.encode() for w in plain])
+            if len(plain) < len(part):
+                at = [i for i, w in enumerate(part) if w in special]
+                places = np.array(at) - np.arange(len(at))
+                ends = np.concatenate([[0], np.cumsum(size)])
+                found = np.insert(found, ends[places], [special[part[i]] for i in at])
+                size = np.insert(size, places, 1)
+            sizes.append(size)
+            starts.append(n + np.cumsum(size) - size)
+            ids.append(found)
+            n += len(found)
+        self.new.clear()
+        self.start, self.size, self.ids = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and the end of each text in them.
+
+        Words come from Arrow's kernels, as codes into the distinct words of these texts; only those are looked up.
         """
-        ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-        if len(self.lines) > self.lines.most:
-            self.lines.clear()
-        for words in self.splitter.slices(text):
-            if words:
-                gap = " " if n else ""
-                numbers, counts, labels = zip(*map(self.lines.__getitem__, words))
-                n += sum(counts)
-                numbers = " ".join(numbers)
-                ids.update((gap + numbers).encode())
-                back.update((gap + " ".join(labels)).encode("utf-8"))
-                if keep is not None:
-                    keep.append(np.fromstring(numbers, np.int32, sep=" "))
-        return n, ids.hexdigest(), back.hexdigest()
+        if len(self) > self.most:
+            self.reset()
+        texts = pc.fill_null(texts, "")
+        hard = pc.match_substring_regex(texts, HARD)
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.if_else(hard, "", texts)), WORDS, r" \0"))
+        coded = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        place = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        rows = place[coded.indices.to_numpy(zero_copy_only=False)]
+        at = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
+        if len(at):
+            more = [np.fromiter(map(self.__getitem__, self.of.splitter.split(x)), np.int64) for x in texts.take(pa.array(at)).to_pylist()]
+            rows = np.insert(rows, np.repeat(offsets[at + 1], list(map(len, more))), np.concatenate(more))
+            offsets[1:] += np.cumsum(np.bincount(at, list(map(len, more)), len(texts))).astype(np.int64)
+        if self.new:
+            self.learn()
+        size = self.size[rows]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        gathered = self.ids[np.repeat(self.start[rows] - ends[:-1], size) + np.arange(int(ends[-1]))]
+        return gathered, ends[offsets[1:]]
+
+    def parts(self, texts: pa.StringArray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(ids, end of each text in them, whether the last text goes on): whole texts, or pieces of a very long one."""
+        for k, j in runs(texts, most):
+            if j == k + 1 and texts[k].is_valid and len(texts[k].as_buffer()) > most:
+                found = list(pieces(texts[k].as_py(), most))
+                for i, x in enumerate(found):
+                    yield *self.encode(pa.array([x], pa.string())), i + 1 < len(found)
+            else:
+                yield *self.encode(texts.slice(k, j - k)), False
+
+    def joined(self, names: pa.StringArray, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The names of each text's ids, joined by spaces."""
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), names.take(pa.array(ids)))
+        return pc.binary_join(lists, " ").cast(pa.binary()).to_pylist()
+
+    def digests(self, texts: pa.StringArray, most: int = 1 << 21) -> Iterator[tuple[int, str, str, list[np.ndarray]]]:
+        """For each text: number of tokens, SHA-256 of the ids and of the decoded text, and the ids."""
+        n, kept, sums = 0, [], [hashlib.sha256(), hashlib.sha256()]
+        for ids, ends, goes_on in self.parts(texts, most):
+            numbers, labels = (self.joined(x, ids, ends) for x in (self.of.numbers, self.of.labels))
+            begins = np.concatenate([[0], ends[:-1]])
+            for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
+                for h, x in zip(sums, (numbers[i], labels[i])):
+                    if a < b:
+                        h.update(b" " + x if n else x)
+                n += b - a
+                kept.append(ids[a:b])
+                if not goes_on:
+                    yield n, sums[0].hexdigest(), sums[1].hexdigest(), kept
+                    n, kept, sums = 0, [], [hashlib.sha256(), hashlib.sha256()]
+
+
+_COMPILED: dict[str, Tokenizer] = {}
+_HELD: dict[str, Words] = {}
 
 
-_HELD: dict[str, Tokenizer] = {}
+def tokenizer(path: str) -> Tokenizer:
+    """Compiled once in a process; drivers ship it to the tasks."""
+    if path not in _COMPILED:
+        _COMPILED[path] = Tokenizer(path)
+    return _COMPILED[path]
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """One for each process: compiling takes a second or two, and the caches serve later tasks."""
-    if path not in _HELD:
-        _HELD[path] = Tokenizer(path)
-    return _HELD[path]
+def words(of: Tokenizer) -> Words:
+    """One cache of words for each process; it serves later tasks."""
+    if of.path not in _HELD:
+        _HELD[of.path] = Words(of)
+    return _HELD[of.path]
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
-    path = path or default_path()
+def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool):
+    compiled = tokenizer(path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            gc.disable()  # the caches hold no cycles, and scanning them again and again costs a fifth of the time
-            rows = [t.digest(x) for x in as_bytes(b.column("text"))]
-            gc.enable()
-            columns = [b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        held = words(compiled)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                b = whole.slice(k, 2000)
+                gc.disable()  # the cache holds no cycles, and scanning it again and again costs a fifth of the time
+                found = list(held.digests(b.column("text")))
+                gc.enable()
+                counts = pa.array([r[0] for r in found], pa.int64())
+                columns = [b.column("doc_id"), counts]
+                if ids:
+                    flat = np.concatenate([np.zeros(0, np.int32), *(x for r in found for x in r[3])])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.to_numpy())]).astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in found], pa.string()) for i in (1, 2))], names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kinds = {"ids": "array<int>", "doc_id": "bigint", "n_tokens": "bigint"}
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every whole text and the digests."""
-    path = path or default_path()
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
+    return _rows(docs, path, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tokenizer(path, 100_000, 200_000)  # of this task alone: the process serves other stages, whose memory it would take
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                gc.disable()
-                rows, ids, ends = [], [], [0]
-                for x in as_bytes(part.column("text")):
-                    rows.append(t.digest(x, keep=ids))
-                    ends.append(ends[-1] + rows[-1][0])
-                gc.enable()
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-                columns = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), lists, *(pa.array([r[i] for r in rows], pa.string()) for i in (1, 2))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string")
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every whole text and the digests."""
+    return _rows(docs, path, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"], True)
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text): the text that each list of ids decodes to; a NULL list decodes to the empty text."""
-    path = path or default_path()
+    labels = tokenizer(path or default_path()).labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        names = labels.to_pylist()
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.decode(x or []) for x in part.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([" ".join(names[i] for i in x or []) for x in part.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")

@@ -5,9 +5,7 @@ ascending ``doc_id``, ``row`` and ``before`` far less), row groups and pages are
 reader fetch the tokens of a few documents, or the numbers alone, without the rest.  Columns: ``part`` and ``row``
 (file and place in it), ``doc_id``, ``before`` (ids of earlier rows of the file), ``n_tokens`` and ``ids``.
 
-Texts are encoded by the tokenizers library, word by word: texts are normalised and pre-split as the tokenizer file
-says, by Arrow's kernels, the library encodes each distinct word once, and the words' ids are gathered.  The cache
-of words is bounded.
+Whole texts are encoded by the tokenizers library.  The number of files follows the bytes of text.
 
 Defined results: NULL and empty texts hold the end id alone; rows with a NULL id come first; rows of one id are
 ordered by text; an empty table gives files without rows and an empty result.
@@ -15,22 +13,18 @@ ordered by text; an empty table gives files without rows and an empty result.
 
 from __future__ import annotations
 
-import gc
-import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.bpe import Splitter, default_path
-from matchloom.llm.common import scratch_dir
+from matchloom.llm.bpe import default_path, pieces, runs
+from matchloom.llm.common import scratch_dir, tidy
 
 END = 2
 SCHEMA = "part int, row bigint, doc_id bigint, before bigint, n_tokens bigint, ids array<int>"
@@ -42,102 +36,47 @@ LAYOUT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
-#: The words of the tokenizer file, with white space as Unicode has it, in the syntax of Arrow's expressions.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\x0b\x85\p{Z}\p{L}\p{N}]+"
-#: Texts that go through the Python splitter: those with special tokens, with controls that Arrow calls space, with
-#: the one letter whose lower case is two, or with anything outside blocks that are composed (NFC) as they stand.
-HARD = r"<\||[\x1c-\x1f\x{130}]|[^\x00-\x{2ff}\x{400}-\x{482}\x{48a}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
+#: Bytes of text: in a file at most, in a file at least (unless the session has few partitions), in a call of the library.
+MOST, LEAST, CALL = 1 << 30, 8 << 20, 1 << 19
 
 
-class Encoder(dict):
-    """Word -> place of its ids; ``encode`` gives the ids of texts."""
+_HELD: dict = {}
 
-    def __init__(self, path: str, most: int = 400_000):
-        super().__init__()
+
+def library(path: str):
+    """The library's tokenizer of a file, one for each process, without truncation and padding."""
+    if path not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.normalizers import Sequence
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.splitter = Splitter(json.load(open(path, encoding="utf-8")))
-        self.tokenizer.normalizer = Sequence([])  # words are normal already
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self[""] = 0
-        self.new: list[str] = []
-        self.start, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        place = self[word] = len(self)
-        return place
-
-    def learn(self, step: int = 10_000) -> None:
-        """Encodes the words that were looked up for the first time."""
-        starts, sizes, ids, n = [self.start], [self.size], [self.ids], len(self.ids)
-        for k in range(0, len(self.new), step):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(self.new[k : k + step], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            sizes.append(size)
-            starts.append(n + np.cumsum(size) - size)
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())))
-            n += len(ids[-1])
-        self.new.clear()
-        self.start, self.size, self.ids = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
-
-    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in order, each with the end id, and the end of each text in them.
-
-        Words come from Arrow's kernels, as codes into the distinct words of these texts; only those are looked up.
-        """
-        if len(self) > self.most:
-            self.reset()
-        texts = pc.fill_null(texts, "")
-        hard = pc.match_substring_regex(texts, HARD)
-        easy = pc.if_else(hard, "", texts)
-        split = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(easy), WORDS, r" \0"))
-        coded = split.flatten().dictionary_encode()
-        offsets = split.offsets.to_numpy().astype(np.int64)
-        offsets -= offsets[0]
-        place = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        rows = place[coded.indices.to_numpy(zero_copy_only=False)]
-        at = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
-        if len(at):
-            more = [np.fromiter(map(self.__getitem__, self.splitter.split(x.encode())), np.int64) for x in texts.take(pa.array(at)).to_pylist()]
-            rows = np.insert(rows, np.repeat(offsets[at + 1], list(map(len, more))), np.concatenate(more))
-            offsets[1:] += np.cumsum(np.bincount(at, list(map(len, more)), len(texts))).astype(np.int64)
-        if self.new:
-            self.learn()
-        size = self.size[rows]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        gathered = self.ids[np.repeat(self.start[rows] - ends[:-1], size) + np.arange(int(ends[-1]))]
-        stops = ends[offsets[1:]]
-        return np.insert(gathered, stops, np.int32(END)), stops + np.arange(1, len(texts) + 1)
-
-
-_HELD: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each process; its cache serves later tasks."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
+
+        _HELD[path] = Tokenizer.from_file(path)
+        _HELD[path].no_truncation()
+        _HELD[path].no_padding()
     return _HELD[path]
 
 
-def encode_texts(texts: pa.StringArray, path: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: (first, behind, ids with end ids, end of each in them), some ``most`` bytes at a time."""
-    held = encoder(path)
-    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
-    k = 0
-    while k < len(texts):
-        j = max(k + 1, int(np.searchsorted(total, total[k] + most, "right")) - 1)
-        yield k, j, *held.encode(texts.slice(k, j - k))
-        k = j
+def encode_texts(texts: pa.StringArray, path: str, most: int = CALL) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: (first, behind, ids with end ids, end of each in them), some ``most`` bytes a call.
+
+    The library gets whole texts; only one of more than ``most`` bytes goes in pieces, cut in white space, which
+    no word of the tokenizer file holds, so its ids are those of the whole.
+    """
+    encode = library(path).encode_batch_fast
+    for k, j in runs(texts, most):
+        given = [x or "" for x in texts.slice(k, j - k).to_pylist()]
+        if j == k + 1:
+            found = [np.concatenate([np.array(encode([x], add_special_tokens=False)[0].ids, np.int32) for x in pieces(given[0], most)])]
+        else:
+            found = [x.ids for x in encode(given, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        ids = np.concatenate([x for ids in found for x in (np.asarray(ids, np.int32), [np.int32(END)])]).astype(np.int32)
+        yield k, j, ids, ends
+
+
+def files(docs: DataFrame) -> int:
+    """Number of files: of ``MOST`` bytes of text at most; small tables spread over the session's partitions."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // MOST), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST)))
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
@@ -147,7 +86,6 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, before = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            gc.disable()  # the cache holds no cycles
             names = b.column("doc_id")
             for first, behind, ids, ends in encode_texts(b.column("text"), path):
                 sizes = np.diff(ends, prepend=0)
@@ -160,10 +98,9 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
                 row, before = row + n, before + int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Ranges have about as many rows each; rows of one id stay together.
-    ranges = rows.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    ranges.mapInArrow(run, SCHEMA).write.options(**LAYOUT).mode("overwrite").parquet(out)
+    ranges = rows.repartitionByRange(files(docs), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ranges.mapInArrow(tidy(run), SCHEMA).write.options(**LAYOUT).mode("overwrite").parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -192,7 +129,7 @@ def index(spark: SparkSession, out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), b.column("before"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], ["part", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     rows = spark.read.schema(SCHEMA).parquet(out).select("part", "doc_id", "before", "ids").mapInArrow(run, "part int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint")
-    # One row a file: as many as there are shuffle partitions.
+    # One row a file.
     return rows.join(F.broadcast(offsets(spark, out)), "part").select("doc_id", (F.col("ahead") + F.col("before")).cast("bigint").alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -26,11 +27,33 @@ def texts(n=1500, seed=3):
 
 
 def test_automaton_equals_library(library):
-    t = bpe.Tokenizer(bpe.default_path())
-    for x in texts():
-        want = library.encode(x, add_special_tokens=False).ids
-        assert t.encode(x.encode()) == want, x
-        assert t.decode(want) == library.decode(want, skip_special_tokens=False)
+    given = [*texts(), None]
+    held = bpe.Words(bpe.tokenizer(bpe.default_path()))
+    for most in (100, 2000, 1 << 20):
+        found = list(held.digests(pa.array(given), most))
+        for x, (n, numbers, labels, ids) in zip(given, found, strict=True):
+            want = library.encode(x or "", add_special_tokens=False).ids
+            assert np.concatenate(ids).tolist() == want and n == len(want), x
+            assert numbers == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+            assert labels == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_words(library):
+    """Words beyond the batch walk, in windows of labels, and a word of megabytes in time linear in it."""
+    rng = random.Random(4)
+    automaton = bpe.tokenizer(bpe.default_path()).automaton
+    for n in (513, 2000, 70_001):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz" if n < 70_000 else "aeinrst") for _ in range(n))
+        want = library.encode(word, add_special_tokens=False).ids
+        assert automaton.long_word(word.encode()).tolist() == want and automaton.long_word(word.encode(), 50).tolist() == want
+        sizes, ids = automaton.words([b"the", word.encode(), b"of", b"of", word.encode() * 2])
+        assert sizes[1] == len(want) and ids[1 : 1 + len(want)].tolist() == want
+    began = time.process_time()
+    automaton.long_word(b"abracadabra" * 20_000)
+    small = time.process_time() - began
+    began = time.process_time()
+    automaton.long_word(b"abracadabra" * 160_000)
+    assert time.process_time() - began < 24 * small + 1
 
 
 def test_automaton_of_random_merges():
@@ -62,7 +85,8 @@ def test_automaton_of_random_merges():
                         out.append(parts[i])
                         i += 1
                 parts = out
-            assert [automaton.label[t] for t in automaton.encode(word)] == parts, (word, merges)
+            for found in (automaton.words([word.encode()])[1], automaton.long_word(word.encode(), 2)):
+                assert [automaton.label[t] for t in found.tolist()] == parts, (word, merges)
 
 
 def test_digests_and_ids(spark, library):
@@ -82,14 +106,12 @@ def test_digests_and_ids(spark, library):
 
 def test_encoder_equals_library(library):
     given = [None, *texts()]
-    held = token_files.encoder(bpe.default_path())
     for most in (2000, 1 << 20):
         for k, j, ids, ends in token_files.encode_texts(pa.array(given), bpe.default_path(), most):
             parts = np.split(ids, ends[:-1])
             assert ends[-1] == len(ids)
             for x, p in zip(given[k:j], parts):
                 assert p.tolist() == library.encode(x or "", add_special_tokens=False).ids + [token_files.END], x
-    held.reset()
 
 
 def test_files(spark, tmp_path, library):
