@@ -29,7 +29,8 @@ import gc
 import hashlib
 import json
 import unicodedata
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -118,7 +119,6 @@ class Automaton:
             symbols[-1] += LAST * final
             words[tuple(symbols)] = t
         self._labels(words)
-        self.known: dict[int, bool] = {}
 
     def _arcs(self, gadgets: Gadgets, inner: set[int]) -> None:
         """Rows of missing arcs.  ``first[i], behind[i]`` are ``state * ROW + number`` of the i-th missing range."""
@@ -265,15 +265,6 @@ class Automaton:
             at = before[back[at] > begins[at]]
         return np.add.reduceat(ends.astype(np.int64), stops - size), state[ends]
 
-    def _missing_one(self, u: int, v: int) -> bool:
-        key = u << 20 | v
-        found = self.known.get(key)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[key] = bool(self.missing(np.array([u], np.int64), np.array([v]))[0])
-        return found
-
     def long_word(self, word: bytes, window: int = 1 << 16) -> np.ndarray:
         """One word position by position, ``window`` symbols of labels at a time."""
         n = len(word)
@@ -282,7 +273,7 @@ class Automaton:
         state, back = np.zeros(n, np.int32), np.zeros(n, np.int32)
         waiting = [np.zeros(0, np.int64)] * 3
         states: dict[int, int] = {-1: -1}
-        missing = self._missing_one
+        firsts, behinds, number = (array("q", x.astype(np.int64).tobytes()) for x in (self.first, self.behind, self.number))
         for begin in range(0, n, window):
             stop = min(n, begin + window)
             found = [np.concatenate(x) for x in zip(waiting, self._found(symbols, np.broadcast_to(np.int64(n), (n,)), begin, stop))]
@@ -291,7 +282,8 @@ class Automaton:
             order = np.lexsort((found[0][now], found[1][now]))
             for f, e, t in zip(*(x[now][order].tolist() for x in found)):
                 u = states[f - 1]
-                if u < 0 or not missing(u, t):
+                key = (u << 20) + number[t]
+                if u < 0 or behinds[bisect_right(firsts, key) - 1] <= key:
                     states[e - 1] = t
                     state[e - 1], back[e - 1] = t, f
             for p in [p for p in states if 0 <= p < stop - self.longest]:
