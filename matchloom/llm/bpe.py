@@ -32,7 +32,7 @@ import unicodedata
 from array import array
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -320,12 +320,12 @@ class Splitter:
         return self.words.findall("".join(c.lower() for c in text) if "\u03a3" in text else text.lower())
 
 
-def pieces(text: str, most: int) -> Iterator[str]:
-    """A text in pieces of about ``most`` characters, cut in white space, which no word holds."""
+def cuts(text: str, most: int) -> Iterator[str]:
+    """A text in parts of about ``most`` characters, cut in white space, which no word holds."""
     at = 0
     while len(text) - at > most:
         cut = max(text.rfind(c, at + 1, at + most) for c in " \n\t")
-        if cut < 0:  # one word of more than a piece
+        if cut < 0:  # one word of more than a part
             cut = min((x for x in (text.find(c, at + most) for c in " \n\t") if x >= 0), default=len(text))
         yield text[at:cut]
         at = cut
@@ -359,13 +359,27 @@ class Tokenizer:
         self.labels = pa.array([names.get(i) for i in every], pa.string())
         self.numbers = pa.array(list(map(str, every)), pa.string())
 
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, all ids) of normalised words."""
+        special = self.splitter.special
+        at = [i for i, w in enumerate(words) if w in special]
+        size, found = self.automaton.words([w.encode() for w in words if w not in special])
+        if at:
+            places = np.array(at) - np.arange(len(at))
+            found = np.insert(found, np.concatenate([[0], np.cumsum(size)])[places], [special[words[i]] for i in at])
+            size = np.insert(size, places, 1)
+        return size, found
+
 
 class Words(dict):
-    """Word -> place of its ids; ``encode`` gives the ids of texts.  Bounded by ``most`` words."""
+    """Word -> place of its ids; ``encode`` gives the ids of texts.
+
+    ``of`` gives (number of ids, all ids) of new words; ``most`` bounds the words held.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 400_000):
+    def __init__(self, splitter: Splitter, of: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         super().__init__()
-        self.of, self.most = tokenizer, most
+        self.splitter, self.of, self.most = splitter, of, most
         self.reset()
 
     def reset(self) -> None:
@@ -382,17 +396,8 @@ class Words(dict):
     def learn(self, step: int = 20_000) -> None:
         """Encodes the words that were looked up for the first time."""
         starts, sizes, ids, n = [self.start], [self.size], [self.ids], len(self.ids)
-        special = self.of.splitter.special
         for k in range(0, len(self.new), step):
-            part = self.new[k : k + step]
-            plain = [w for w in part if w not in special]
-            size, found = self.of.automaton.words([w.encode() for w in plain])
-            if len(plain) < len(part):
-                at = [i for i, w in enumerate(part) if w in special]
-                places = np.array(at) - np.arange(len(at))
-                ends = np.concatenate([[0], np.cumsum(size)])
-                found = np.insert(found, ends[places], [special[part[i]] for i in at])
-                size = np.insert(size, places, 1)
+            size, found = self.of(self.new[k : k + step])
             sizes.append(size)
             starts.append(n + np.cumsum(size) - size)
             ids.append(found)
@@ -417,7 +422,7 @@ class Words(dict):
         rows = place[coded.indices.to_numpy(zero_copy_only=False)]
         at = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
         if len(at):
-            more = [np.fromiter(map(self.__getitem__, self.of.splitter.split(x)), np.int64) for x in texts.take(pa.array(at)).to_pylist()]
+            more = [np.fromiter(map(self.__getitem__, self.splitter.split(x)), np.int64) for x in texts.take(pa.array(at)).to_pylist()]
             rows = np.insert(rows, np.repeat(offsets[at + 1], list(map(len, more))), np.concatenate(more))
             offsets[1:] += np.cumsum(np.bincount(at, list(map(len, more)), len(texts))).astype(np.int64)
         if self.new:
@@ -428,15 +433,22 @@ class Words(dict):
         return gathered, ends[offsets[1:]]
 
     def parts(self, texts: pa.StringArray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(ids, end of each text in them, whether the last text goes on): whole texts, or pieces of a very long one."""
+        """(ids, end of each text in them, whether the last text goes on): whole texts, or parts of a very long one."""
         for k, j in runs(texts, most):
             if j == k + 1 and texts[k].is_valid and len(texts[k].as_buffer()) > most:
-                found = list(pieces(texts[k].as_py(), most))
+                found = list(cuts(texts[k].as_py(), most))
                 for i, x in enumerate(found):
                     yield *self.encode(pa.array([x], pa.string())), i + 1 < len(found)
             else:
                 yield *self.encode(texts.slice(k, j - k)), False
 
+
+class Encoder:
+    """Ids and digests of texts by the compiled tables."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.words = tokenizer, Words(tokenizer.splitter, tokenizer.ids)
+
     def joined(self, names: pa.StringArray, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The names of each text's ids, joined by spaces."""
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), names.take(pa.array(ids)))
@@ -445,8 +457,8 @@ class Words(dict):
     def digests(self, texts: pa.StringArray, most: int = 1 << 21) -> Iterator[tuple[int, str, str, list[np.ndarray]]]:
         """For each text: number of tokens, SHA-256 of the ids and of the decoded text, and the ids."""
         n, kept, sums = 0, [], [hashlib.sha256(), hashlib.sha256()]
-        for ids, ends, goes_on in self.parts(texts, most):
-            numbers, labels = (self.joined(x, ids, ends) for x in (self.of.numbers, self.of.labels))
+        for ids, ends, goes_on in self.words.parts(texts, most):
+            numbers, labels = (self.joined(x, ids, ends) for x in (self.tokenizer.numbers, self.tokenizer.labels))
             begins = np.concatenate([[0], ends[:-1]])
             for i, (a, b) in enumerate(zip(begins.tolist(), ends.tolist())):
                 for h, x in zip(sums, (numbers[i], labels[i])):
@@ -460,7 +472,7 @@ class Words(dict):
 
 
 _COMPILED: dict[str, Tokenizer] = {}
-_HELD: dict[str, Words] = {}
+_HELD: dict[str, Encoder] = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -470,10 +482,10 @@ def tokenizer(path: str) -> Tokenizer:
     return _COMPILED[path]
 
 
-def words(of: Tokenizer) -> Words:
-    """One cache of words for each process; it serves later tasks."""
+def encoder(of: Tokenizer) -> Encoder:
+    """One for each process; what it has learnt serves later tasks."""
     if of.path not in _HELD:
-        _HELD[of.path] = Words(of)
+        _HELD[of.path] = Encoder(of)
     return _HELD[of.path]
 
 
@@ -481,7 +493,7 @@ def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool):
     compiled = tokenizer(path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = words(compiled)
+        held = encoder(compiled)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 b = whole.slice(k, 2000)

@@ -5,7 +5,9 @@ ascending ``doc_id``, ``row`` and ``before`` far less), row groups and pages are
 reader fetch the tokens of a few documents, or the numbers alone, without the rest.  Columns: ``part`` and ``row``
 (file and place in it), ``doc_id``, ``before`` (ids of earlier rows of the file), ``n_tokens`` and ``ids``.
 
-Whole texts are encoded by the tokenizers library.  The number of files follows the bytes of text.
+The tokenizers library encodes the texts: Arrow's kernels find the words of a text as the tokenizer file says, the
+library, as it stands, encodes every distinct word, and the words' ids are gathered (bounded cache).  The number of
+files follows the bytes of text.
 
 Defined results: NULL and empty texts hold the end id alone; rows with a NULL id come first; rows of one id are
 ordered by text; an empty table gives files without rows and an empty result.
@@ -13,9 +15,11 @@ ordered by text; an empty table gives files without rows and an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from matchloom.llm.bpe import default_path, pieces, runs
+from matchloom.llm.bpe import Splitter, Words, default_path
 from matchloom.llm.common import scratch_dir, tidy
 
 END = 2
@@ -36,41 +40,56 @@ LAYOUT = {
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
 }
-#: Bytes of text: in a file at most, in a file at least (unless the session has few partitions), in a call of the library.
-MOST, LEAST, CALL = 1 << 30, 8 << 20, 1 << 19
+#: Bytes of text: in a file at most, in a file at least (unless the session has few partitions), encoded at a time.
+MOST, LEAST, STEP = 1 << 30, 8 << 20, 1 << 21
+_HELD: dict[str, Words] = {}
 
 
-_HELD: dict = {}
-
-
-def library(path: str):
-    """The library's tokenizer of a file, one for each process, without truncation and padding."""
+def encoder(path: str) -> Words:
+    """The library's tokenizer of a file, without truncation and padding; one for each process."""
     if path not in _HELD:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _HELD[path] = Tokenizer.from_file(path)
-        _HELD[path].no_truncation()
-        _HELD[path].no_padding()
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+
+        splitter = Splitter(json.load(open(path, encoding="utf-8")))
+        end = library.model.end_of_word_suffix
+        ends_word = np.zeros(max(library.get_vocab().values()) + 1, bool)
+        ends_word[[i for w, i in library.get_vocab().items() if w.endswith(end) or w in splitter.special]] = True
+
+        def ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """One call for a thousand words; the last id of each word shows where it ends."""
+            sizes, found = [], []
+            for k in range(0, len(words), 1000):
+                part = words[k : k + 1000]
+                got = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+                stops = np.flatnonzero(ends_word[got]) + 1
+                if len(stops) != len(part):  # split otherwise than the library does: ask it one by one
+                    single = [x.ids for x in library.encode_batch_fast(part, add_special_tokens=False)]
+                    got, stops = np.fromiter(chain.from_iterable(single), np.int32), np.cumsum(list(map(len, single)))
+                sizes.append(np.diff(stops, prepend=0))
+                found.append(got)
+            return np.concatenate(sizes), np.concatenate(found)
+
+        _HELD[path] = Words(splitter, ids)
     return _HELD[path]
 
 
-def encode_texts(texts: pa.StringArray, path: str, most: int = CALL) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts: (first, behind, ids with end ids, end of each in them), some ``most`` bytes a call.
-
-    The library gets whole texts; only one of more than ``most`` bytes goes in pieces, cut in white space, which
-    no word of the tokenizer file holds, so its ids are those of the whole.
-    """
-    encode = library(path).encode_batch_fast
-    for k, j in runs(texts, most):
-        given = [x or "" for x in texts.slice(k, j - k).to_pylist()]
-        if j == k + 1:
-            found = [np.concatenate([np.array(encode([x], add_special_tokens=False)[0].ids, np.int32) for x in pieces(given[0], most)])]
-        else:
-            found = [x.ids for x in encode(given, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        ids = np.concatenate([x for ids in found for x in (np.asarray(ids, np.int32), [np.int32(END)])]).astype(np.int32)
-        yield k, j, ids, ends
+def encode_texts(texts: pa.StringArray, path: str, most: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts: (first, behind, ids with end ids, end of each in them), some ``most`` bytes at a time."""
+    first, held, ahead = 0, [], 0
+    for ids, ends, goes_on in encoder(path).parts(texts, most):
+        held.append(ids)
+        if goes_on:
+            ahead += len(ids)
+            continue
+        ends = ends + ahead
+        behind = first + len(ends)
+        yield first, behind, np.insert(np.concatenate(held), ends, np.int32(END)), ends + np.arange(1, len(ends) + 1)
+        first, held, ahead = behind, [], 0
 
 
 def files(docs: DataFrame) -> int:

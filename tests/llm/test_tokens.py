@@ -28,7 +28,7 @@ def texts(n=1500, seed=3):
 
 def test_automaton_equals_library(library):
     given = [*texts(), None]
-    held = bpe.Words(bpe.tokenizer(bpe.default_path()))
+    held = bpe.Encoder(bpe.tokenizer(bpe.default_path()))
     for most in (100, 2000, 1 << 20):
         found = list(held.digests(pa.array(given), most))
         for x, (n, numbers, labels, ids) in zip(given, found, strict=True):
