@@ -48,10 +48,11 @@ def forest(edges: DataFrame, most: int = 500_000) -> DataFrame:
 
 
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of the component of each node that has an edge to another.
+    """(node, label): the smallest node of the component of each node that has an edge to a smaller one of it.
 
     Each round links the larger neighbours of every node to its smallest one, then the smaller ones; the rounds
-    are logarithmic in practice and stop when the table does not change.  Tables are written between rounds.
+    are logarithmic in practice and stop when the table does not change; more than ``rounds`` of them are an error.
+    Tables are written between rounds.
     """
     now = materialise(forest(edges).filter("u <> v").distinct(), f"{path}/edges")
     state = None
@@ -67,4 +68,6 @@ def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
         if (r["n"], r["h"]) == state:
             break
         state = (r["n"], r["h"])
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))

@@ -6,12 +6,12 @@ copies cost one signature set a task, not one a document.
 
 Signatures.  Set sizes fall into bands [L, R] with R = L / threshold, so linked sets lie in one band or in
 neighbouring ones; a set signs for its own band and for the next.  In the family of band [L, R] linked sets differ
-in at most k = 2 R (1 - t) / (1 + t) elements.  The hash domain is cut into n = k + 1 + m equal parts; at most k of
-them hold a difference, so m + 1 parts agree at least (enumerating subsets of one part each: larger subsets make
-fewer false candidates here than they make signatures).  A signature is the part's number and the sum of its
-elements.  Empty parts would make all sets alike: a set with m empty parts or fewer leaves them out, since m + 1
-agreeing parts cannot all be empty; the few sets with more sign their empty parts too, and two such sets meet
-there.  So every linked pair shares a signature.
+in at most k = 2 R (1 - t) / (1 + t) elements.  The hash domain is cut into n1 equal first-level parts, so one of
+them holds k2 = k // n1 differences at most; each is cut into n2 = k2 + s + m second-level parts, of which s + m
+agree there, and a signature is a subset of s of these (first-level part, subset, and the elements in it).  Empty
+parts would make all sets alike: where a set has m empty ones or fewer in a first-level part, its subsets leave them
+out, since s of the s + m agreeing parts are not empty; where it has more, subsets take them too, and two such sets
+meet there.  So every linked pair shares a signature.  ``choose`` fixes (n1, s) for a band by measured costs.
 
 Candidates.  Signatures are dealt by family and part; sets that share one form a group, and equal groups count
 once.  Pairs of a group must pass a parity sketch (one bit for the parity of the elements that hash to it; two
@@ -28,61 +28,102 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes, tidy
+from matchloom.llm.common import GOLD, WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes, tidy
 from matchloom.llm.graph import components
 
 WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
 #: NARROW and WIDE: bits of a sketch for two elements, at least, in small and in large groups.
-#: Signature parts that are dealt together; signatures in a dealt unit, about; groups that try all pairs;
-#: leaders of larger ones; members in a block of those; classes that a task remembers.
-PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN = 8, 1_000_000, 48, 1, 2048, 200_000
+#: Signatures that are dealt together; signatures in a dealt unit, about; groups that try all pairs (larger ones go by
+#: leaders and blocks, exact either way); leaders; members in a block; classes that a task remembers; pairs of a hub
+#: that one task verifies; bytes of a text for a shingle, to foresee set sizes.
+PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN, HUB, BYTES = 8, 250_000, 48, 1, 2048, 200_000, 2000, 6.5
+#: Bands of sets that differ in PAIRED elements at most enumerate subsets of two parts, others single parts.
+PAIRED = 2
+
+
+def choose(k: int) -> tuple[int, int]:
+    """(n1, s) of a band whose linked sets differ in ``k`` elements at most.
+
+    Measured on whole tables (README): subsets of two parts pay where parts are few, since single parts of small
+    sets hold one or two elements; a second level makes more signatures than it saves candidates.
+    """
+    return 1, 2 if k <= PAIRED else 1
 
 
 @cache
-def bands(threshold: int = THRESHOLD, most: int = 1 << 40) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """First size of each band, and (k, n, m) of its family."""
+def bands(threshold: int = THRESHOLD, most: int = 1 << 40) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """First size of each band, and (n1, n2, s, m) of its family; all 0 where only equal sets link."""
     first, families, low, before = [], [], 1, 1
     while low < most:
         high = max(low, low * 100 // threshold)
         k = 2 * high * (100 - threshold) // (100 + threshold)
-        m = 0
+        n1, s = choose(k) if k else (0, 0)
+        m = n2 = 0
         while k:
-            n = k + 1 + m
-            empty = n * np.exp(-before / n)  # expected empty parts of the smallest set that signs here
-            if m >= empty + 2.5 * empty**0.5 or n >= 4 * (k + 1):
+            n2 = k // n1 + s + m
+            empty = n2 * np.exp(-before / (n1 * n2))  # expected empty parts of the smallest set that signs here
+            if m >= empty + 2.5 * empty**0.5 or n2 >= 4 * (k // n1 + s):
                 break
             m += max(1, m // 64)
-        families.append((k, k + 1 + m if k else 0, m))
+        families.append((n1, n2, s, m))
         first.append(low)
         before, low = low, high + 1
     return np.array(first, np.int64), families
 
 
+@cache
+def subsets(n: int, s: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), s)), np.int64)
+
+
 def signatures(elements: np.ndarray, threshold: int = THRESHOLD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(family, part numbers, signatures) of a sorted set, for its own band and the next."""
+    """(family, signature numbers, signatures) of a sorted set, for its own band and the next."""
     first, families = bands(threshold)
     own = int(np.searchsorted(first, len(elements), "right")) - 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(elements)])
     high = elements >> np.uint64(32)
     for f in (own, own + 1):
-        k, n, m = families[f]
-        if not n:
+        n1, n2, s, m = families[f]
+        if not n1:
             continue  # sets of this size link only if they are equal
-        part = high * np.uint64(n) >> np.uint64(32)
-        edge = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-        sums = total[edge[1:]] - total[edge[:-1]]
-        at = np.arange(n)
-        full = edge[1:] > edge[:-1]
-        if n - int(full.sum()) <= m:
-            at, sums = at[full], sums[full]
-        yield f, at, mix64(sums ^ mix64(at.astype(np.uint64) + np.uint64(1)))
+        n = n1 * n2
+        edge = np.searchsorted(high * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+        full = (edge[1:] > edge[:-1]).reshape(n1, n2)
+        taken = full | (n2 - full.sum(axis=1, keepdims=True) > m)
+        value = mix64((total[edge[1:]] - total[edge[:-1]]) ^ mix64(np.arange(1, n + 1, dtype=np.uint64)))
+        if s == 1:
+            at = np.flatnonzero(taken)
+            yield f, at, value[at]
+        else:
+            sets, value = subsets(n2, s), value.reshape(n1, n2)
+            at = np.flatnonzero(taken[:, sets].all(axis=2))
+            mixed = value[:, sets[:, 0]]
+            for i in range(1, s):
+                mixed = mix64(mixed + GOLD) ^ value[:, sets[:, i]]
+            yield f, at, mix64(mixed.ravel()[at])
+
+
+def unit_counts(docs: DataFrame, threshold: int) -> np.ndarray:
+    """For each family, over how many units a dealt bucket's signatures are spread, from the lengths of all texts."""
+    first, families = bands(threshold)
+    # One row for each quarter more of length: some hundred at most.
+    step = F.floor(F.log(F.greatest(F.octet_length("text"), F.lit(1))) / float(np.log(1.25)))
+    found = docs.groupBy(step.alias("step")).agg(F.count("*").alias("n")).filter("step is not null").collect()
+    total = np.zeros(len(families) + 1)
+    for r in found:
+        f = int(np.searchsorted(first, max(1, 1.25 ** (r["step"] + 0.5) / BYTES), "right")) - 1
+        total[f : f + 2] += r["n"]
+    made = [n1 * comb(n2, s) for n1, n2, s, _ in families] + [0]
+    return np.array([max(1, round(n * min(x, PARTS) / UNIT)) for n, x in zip(total, made)], np.int64)
 
 
 def sketch(elements: np.ndarray, per_two: int) -> bytes:
@@ -124,8 +165,8 @@ def class_of(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-SIGNED = "bucket bigint, blob binary, doc_id bigint, n bigint, class binary, narrow binary, wide binary"
-GROUPED = "gid bigint, size bigint, doc_id bigint, n bigint, class binary, narrow binary, wide binary"
+SIGNED = "bucket bigint, blob binary, doc_id bigint, digest bigint, n bigint, class binary, narrow binary, wide binary"
+GROUPED = "gid bigint, size bigint, doc_id bigint, digest bigint, n bigint, class binary, narrow binary, wide binary"
 
 
 def _record(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -139,11 +180,15 @@ def _schema(text: str) -> list[tuple[str, pa.DataType]]:
     return [(x.split()[0], _T[x.split()[1]]) for x in text.split(", ")]
 
 
-def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def sign(docs: DataFrame, width: int, threshold: int, units: np.ndarray) -> DataFrame:
     """A row for each document (its set's size, class and sketch), and packed signatures by family and part.
 
     A blob holds, for the classes of a batch that sign in the bucket: their number, their digests, how many
-    signatures each has, and the signatures.  ``slots`` splits buckets by the signature for large tables.
+    signatures each has, and the signatures.  ``units`` splits the buckets of a family by the signature.
     """
     schema = _schema(SIGNED)
 
@@ -158,14 +203,15 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
                 classes.clear()
                 return
             key, value, owner = np.concatenate(keys), np.concatenate(sums), np.concatenate(owners)
-            key = key * slots + (value >> np.uint64(40)).astype(np.int64) % slots
+            spread = units[key >> 32]
+            key = (key << 20) + (value >> np.uint64(40)).astype(np.int64) % spread
             order = np.argsort(key, kind="stable")
             key, value, owner = key[order], value[order], owner[order]
             digests = np.frombuffer(b"".join(classes), "V16")
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, count = np.unique(owner[a:b], return_counts=True)  # owners are in order inside a bucket
-                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u4").tobytes() + value[a:b].astype("<u8").tobytes(), None, None, None, None, None
+                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u4").tobytes() + value[a:b].astype("<u8").tobytes(), None, None, None, None, None, None
             for x in (keys, sums, owners, classes):
                 x.clear()
             held = 0
@@ -174,17 +220,17 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
                 words.trim()
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text"))):
+                for doc_id, digest, text in zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), as_bytes(b.column("text"))):
                     elements = shingle_set(words, text, width)
                     turn += 1
                     c = class_of(elements) if len(elements) and doc_id is not None else None
                     if c is None or c in seen:
-                        rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, None, None))
+                        rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, None, None))
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    rows.append((-1 - turn % 4096, None, doc_id, len(elements), c, sketch(elements, NARROW), sketch(elements, WIDE)))
+                    rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, sketch(elements, NARROW), sketch(elements, WIDE)))
                     for f, at, values in signatures(elements, threshold):
                         keys.append((f << 32) + at // PARTS)
                         sums.append(values)
@@ -198,7 +244,7 @@ def sign(docs: DataFrame, width: int, threshold: int, slots: int) -> DataFrame:
         rows += packed()
         yield _record(schema, rows)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_digest(F.col("text")).alias("digest"), "text").mapInArrow(tidy(run), SIGNED)
 
 
 def group(signed: DataFrame) -> DataFrame:
@@ -243,7 +289,7 @@ def group(signed: DataFrame) -> DataFrame:
                     if gid not in known:
                         known.add(gid)
                         for k in range(len(members)):
-                            yield gid, len(members), None, None, found[16 * k : 16 * k + 16], None, None
+                            yield gid, len(members), None, None, None, found[16 * k : 16 * k + 16], None, None
 
         rows: list[tuple] = []
         for b in batches:
@@ -262,7 +308,7 @@ def group(signed: DataFrame) -> DataFrame:
             plain = pa.array([i for i, x in enumerate(blob) if x is None], pa.int64())
             kept = b.take(plain)
             none = pa.nulls(len(plain), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("n"), kept.column("class"), kept.column("narrow"), kept.column("wide")], [n for n, _ in schema])
+            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("digest"), kept.column("n"), kept.column("class"), kept.column("narrow"), kept.column("wide")], [n for n, _ in schema])
         if blobs:
             rows += groups()
         yield _record(schema, rows)
@@ -293,7 +339,7 @@ def small_group_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
         for b in batches:
             found: set[tuple] = set()
-            for g, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "class", "rep", "n", "sketch"))):
+            for g, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "class", "no", "n", "sketch"))):
                 if g != gid:
                     if len(held) > 1:
                         found.update(pairs())
@@ -307,11 +353,11 @@ def small_group_pairs(members: DataFrame, threshold: int) -> DataFrame:
 
 def leader_pairs(members: DataFrame, path: str, threshold: int, leaders: int = LEADERS) -> DataFrame:
     """Pairs of a few members of each large group with all its members, as far as they may link."""
-    whole = F.struct("class", "rep", "n", "sketch")
+    whole = F.struct("class", "no", "n", "sketch")
     # one row a group and leader, found map-side first
     chosen = members.groupBy("gid").agg(*(F.min(F.struct(F.xxhash64("class", "gid", F.lit(i)).alias("h"), whole.alias("who"))).alias(f"l{i}") for i in range(leaders)))
     chosen = materialise(chosen.select("gid", F.explode(F.array_distinct(F.array(*(F.col(f"l{i}")["who"] for i in range(leaders))))).alias("leader")), f"{path}/leaders")
-    joined = members.join(chosen, "gid").select("class", "rep", "n", "sketch", F.col("leader.class").alias("c2"), F.col("leader.rep").alias("r2"), F.col("leader.n").alias("n2"), F.col("leader.sketch").alias("s2"))
+    joined = members.join(chosen, "gid").select("class", "no", "n", "sketch", F.col("leader.class").alias("c2"), F.col("leader.no").alias("r2"), F.col("leader.n").alias("n2"), F.col("leader.sketch").alias("s2"))
     schema = _schema(PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,9 +379,9 @@ def open_pairs(members: DataFrame, labels: DataFrame, threshold: int, block: int
     A group's members fall into blocks; each pair of blocks is a unit of work, so a task holds two blocks at most.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("bigint")
-    rows = members.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+    rows = members.join(labels, F.col("no") == F.col("node"), "left").withColumn("label", F.coalesce("label", "no"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    rows = rows.select("gid", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "class", "rep", "n", "sketch", "label")
+    rows = rows.select("gid", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "at", "class", "no", "n", "sketch", "label")
     schema = _schema(PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +399,7 @@ def open_pairs(members: DataFrame, labels: DataFrame, threshold: int, block: int
 
         found: set[tuple] = set()
         for b in batches:
-            for g, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "lo", "hi", "at", "class", "rep", "n", "sketch", "label"))):
+            for g, lo, hi, *row in zip(*(b.column(c).to_pylist() for c in ("gid", "lo", "hi", "at", "class", "no", "n", "sketch", "label"))):
                 if (g, lo, hi) != unit:
                     if len(held) > 1:
                         for p in pairs():
@@ -370,13 +416,14 @@ def open_pairs(members: DataFrame, labels: DataFrame, threshold: int, block: int
     return rows.repartition("gid", "lo", "hi").sortWithinPartitions("gid", "lo", "hi").mapInArrow(tidy(run), PAIRS)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, path: str, width: int, threshold: int) -> DataFrame:
-    """(u, v): representatives of the pairs that link, checked on whole sets.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, path: str, width: int, threshold: int, hub: int = HUB) -> DataFrame:
+    """(u, v): numbers of the classes that link, checked on whole sets.
 
-    The sets of the classes concerned are made again from their representatives' texts; each goes once to every
-    class ``a`` that it is paired with.
+    The sets of the classes concerned are made again from a text of each; each goes once to every class ``a`` that
+    it is paired with.  The partners of a class with more than ``hub`` of them are split over several tasks.
     """
-    wanted = pairs.select(F.col("ra").alias("doc_id")).unionByName(pairs.select(F.col("rb").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("ra").alias("no")).unionByName(pairs.select(F.col("rb").alias("no"))).distinct()
+    wanted = wanted.join(classes, "no").select(F.col("rep").alias("doc_id")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -388,64 +435,87 @@ def verified(pairs: DataFrame, docs: DataFrame, path: str, width: int, threshold
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
     sets = materialise(texts.select("text").mapInArrow(tidy(make), "class binary, elements binary"), f"{path}/sets").dropDuplicates(["class"])
-    firsts = sets.join(pairs.select(F.col("a").alias("class")).distinct(), "class").select(F.col("class").alias("a"), F.lit(False).alias("second"), F.lit(None).cast("bigint").alias("ra"), F.lit(None).cast("bigint").alias("rb"), "elements")
-    seconds = pairs.withColumnRenamed("b", "class").join(sets, "class").select("a", F.lit(True).alias("second"), "ra", "rb", "elements")
+    per = materialise(pairs.groupBy("a").agg(F.ceil(F.count("*") / hub).cast("bigint").alias("tasks")), f"{path}/hubs")
+    split = per.filter("tasks > 1")
+    small = F.broadcast if split.count() <= 100_000 else lambda x: x
+    spread = pairs.join(small(split), "a", "left").withColumn("task", F.coalesce(F.pmod(F.xxhash64("b"), F.col("tasks")), F.lit(0)))
+    firsts = per.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1)).alias("task")).join(sets.withColumnRenamed("class", "a"), "a")
+    firsts = firsts.select("a", "task", F.lit(False).alias("second"), F.lit(None).cast("bigint").alias("ra"), F.lit(None).cast("bigint").alias("rb"), "elements")
+    seconds = spread.withColumnRenamed("b", "class").join(sets, "class").select("a", "task", F.lit(True).alias("second"), "ra", "rb", "elements")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, first = None, None
+        unit, first = None, None
         for b in batches:
             out = []
-            for a, second, ra, rb, elements in zip(*(b.column(c).to_pylist() for c in ("a", "second", "ra", "rb", "elements"))):
+            for *key, second, ra, rb, elements in zip(*(b.column(c).to_pylist() for c in ("a", "task", "second", "ra", "rb", "elements"))):
                 mine = np.frombuffer(elements, "<u8")
                 if not second:
-                    hub, first = a, mine
-                elif a == hub and linked(first, mine, threshold):
+                    unit, first = key, mine
+                elif key == unit and linked(first, mine, threshold):
                     out.append((ra, rb))
             yield _record([("u", pa.int64()), ("v", pa.int64())], out)
 
-    return firsts.unionByName(seconds).repartition("a").sortWithinPartitions("a", "second").mapInArrow(tidy(run), "u bigint, v bigint")
+    return firsts.unionByName(seconds).repartition("a", "task").sortWithinPartitions("a", "task", "second").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
-def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
-    spark = docs.sparkSession
-    path = scratch_dir(spark)
-    # A signature for every fourth shingle, about 26 bytes of text; 175 buckets come from families and parts.
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slots = max(1, round(size / 12 / UNIT / 175))
-    grouped = materialise(group(sign(docs, width, threshold, slots)), f"{path}/grouped")
-    rows = grouped.filter("gid is null").select("doc_id", "n", "class", "narrow", "wide")
-    classes = materialise(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide")), f"{path}/classes")
+def _rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, root, component_id) of every row of ``docs``; ``root`` is NULL where nothing links.
+
+    Classes have numbers, and ``root`` is one of each component's, so rows of one id with unlike texts stay apart;
+    ``component_id`` is the smallest id of the component.
+    """
+    path = scratch_dir(docs.sparkSession)
+    grouped = materialise(group(sign(docs, width, threshold, unit_counts(docs, threshold))), f"{path}/grouped")
+    rows = grouped.filter("gid is null").select("doc_id", "digest", "n", "class", "narrow", "wide")
+    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide"))
+    classes = materialise(classes.withColumn("no", F.monotonically_increasing_id()), f"{path}/classes")
     members = grouped.filter("gid is not null").select("gid", "size", "class").distinct().join(classes, "class")
     sketches = F.when(F.col("size") <= SMALL, F.col("narrow")).otherwise(F.col("wide"))
-    members = materialise(members.select("gid", "size", "class", "rep", "n", sketches.alias("sketch")), f"{path}/members")
+    members = materialise(members.select("gid", "size", "class", "no", "n", sketches.alias("sketch")), f"{path}/members")
     small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
     is_open = not large.isEmpty()
     found = small_group_pairs(small, threshold)
     if is_open:
         found = found.unionByName(leader_pairs(large, path, threshold))
     pairs = materialise(found.distinct(), f"{path}/pairs")
-    links = materialise(verified(pairs, docs, path, width, threshold), f"{path}/links")
+    links = materialise(verified(pairs, classes, docs, path, width, threshold), f"{path}/links")
     labels = components(links, f"{path}/first")
     if is_open:
         labels = materialise(labels, f"{path}/labels")
         rest = materialise(open_pairs(large, labels, threshold).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), f"{path}/rest")
         if not rest.isEmpty():
-            more = verified(rest, docs, f"{path}/rest-of", width, threshold)
+            more = verified(rest, classes, docs, f"{path}/rest-of", width, threshold)
             labels = components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))), f"{path}/second")
-    component = classes.select("class", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("c"), F.coalesce("label", "rep").alias("component"))
-    component = materialise(component, f"{path}/components")
-    return rows.join(component, F.col("class") == F.col("c"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())  # smallest nodes too
+    labelled = materialise(labels.join(classes, F.col("node") == F.col("no")).select("class", "label", "rep"), f"{path}/labelled")
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    component = materialise(labelled.join(least, "label").select(F.col("class").alias("c"), "label", "component"), f"{path}/components")
+    named = rows.select("doc_id", "digest", F.col("n").alias("n_shingles"), "class").join(classes.select(F.col("class").alias("k"), "no", "rep"), F.col("class") == F.col("k"), "left")
+    named = named.join(component, F.col("class") == F.col("c"), "left")
+    return named.select("doc_id", "digest", "n_shingles", F.coalesce("label", "no").alias("root"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return _rows(docs, width, threshold).select("doc_id", "n_shingles", "component_id")
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group of linked ones, the smallest id, with the same columns.
+    """One row of each group of linked ones, that of the smallest id (then digest of the text), with the same columns.
 
-    Rows of one id are copies if their texts link, and then one stays; rows with a NULL id stay.
+    Rows of one id are judged by their own texts: those that link with nothing stay, of identical linked rows one
+    stays.  Rows with a NULL id and rows without words stay.
     """
-    found = materialise(join(docs, width, threshold), f"{scratch_dir(docs.sparkSession)}/groups")
-    lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    path = scratch_dir(docs.sparkSession)
+    found = _rows(docs, width, threshold).filter("root is not null").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("rows"))
+    found = materialise(found, f"{path}/groups")
+    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    judged = found.join(firsts, "root").select(F.col("doc_id").alias("id"), "digest", "rows", (F.struct("doc_id", "digest") == F.col("first")).alias("stays"))
+    judged = materialise(judged, f"{path}/judged")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("bigint").alias("id"), text_digest(F.col("text")).alias("digest"))
+    kept = rows.join(judged.filter("not stays"), ["id", "digest"], "left_anti")
+    again = judged.filter("stays and rows > 1").select("id", "digest")
+    if not again.isEmpty():
+        once = kept.join(again, ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.first("doc").alias("doc"))
+        kept = kept.join(again, ["id", "digest"], "left_anti").select("doc").unionByName(once.select("doc"))
+    return kept.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
