@@ -47,7 +47,7 @@ WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
 #: that one task verifies; bytes of a text for a shingle, to foresee set sizes.
 PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN, HUB, BYTES = 8, 250_000, 48, 1, 2048, 200_000, 2000, 6.5
 #: Bands of sets that differ in PAIRED elements at most enumerate subsets of two parts, others single parts.
-PAIRED = 2
+PAIRED = 6
 
 
 def choose(k: int) -> tuple[int, int]:
