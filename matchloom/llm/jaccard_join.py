@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from matchloom.llm.common import GOLD, WordHashes, as_bytes, materialise, mix64, scratch_dir, shingle_hashes, tidy
 from matchloom.llm.graph import components
 
-WIDTH, THRESHOLD, NARROW, WIDE = 5, 80, 3, 8
-#: NARROW and WIDE: bits of a sketch for two elements, at least, in small and in large groups.
+WIDTH, THRESHOLD, BITS = 5, 80, 4
+#: BITS of a sketch for two elements, at least.
 #: Signatures that are dealt together; signatures in a dealt unit, about; groups that try all pairs (larger ones go by
 #: leaders and blocks, exact either way); leaders; members in a block; classes that a task remembers; pairs of a hub
 #: that one task verifies; bytes of a text for a shingle, to foresee set sizes.
-PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN, HUB, BYTES = 8, 250_000, 48, 1, 2048, 200_000, 2000, 6.5
+PARTS, UNIT, SMALL, LEADERS, BLOCK, SEEN, HUB, BYTES = 8, 1_000_000, 48, 1, 2048, 200_000, 2000, 6.5
 #: Bands of sets that differ in PAIRED elements at most enumerate subsets of two parts, others single parts.
 PAIRED = 6
 
@@ -165,8 +165,8 @@ def class_of(elements: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-SIGNED = "bucket bigint, blob binary, doc_id bigint, digest bigint, n bigint, class binary, narrow binary, wide binary"
-GROUPED = "gid bigint, size bigint, doc_id bigint, digest bigint, n bigint, class binary, narrow binary, wide binary"
+SIGNED = "bucket bigint, blob binary, doc_id bigint, digest bigint, n bigint, class binary, sketch binary"
+GROUPED = "gid bigint, size bigint, doc_id bigint, digest bigint, n bigint, class binary, sketch binary"
 
 
 def _record(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -188,7 +188,8 @@ def sign(docs: DataFrame, width: int, threshold: int, units: np.ndarray) -> Data
     """A row for each document (its set's size, class and sketch), and packed signatures by family and part.
 
     A blob holds, for the classes of a batch that sign in the bucket: their number, their digests, how many
-    signatures each has, and the signatures.  ``units`` splits the buckets of a family by the signature.
+    signatures each has (``PARTS`` at most), and their low 32 bits: in one unit, those of unlike signatures are
+    seldom equal, and then make a candidate that the sketches drop.  ``units`` splits the buckets of a family by the signature.
     """
     schema = _schema(SIGNED)
 
@@ -211,7 +212,7 @@ def sign(docs: DataFrame, width: int, threshold: int, units: np.ndarray) -> Data
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 own, count = np.unique(owner[a:b], return_counts=True)  # owners are in order inside a bucket
-                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u4").tobytes() + value[a:b].astype("<u8").tobytes(), None, None, None, None, None, None
+                yield int(key[a]), np.array([len(own)], "<u4").tobytes() + digests[own].tobytes() + count.astype("<u1").tobytes() + value[a:b].astype("<u4").tobytes(), None, None, None, None, None
             for x in (keys, sums, owners, classes):
                 x.clear()
             held = 0
@@ -225,12 +226,12 @@ def sign(docs: DataFrame, width: int, threshold: int, units: np.ndarray) -> Data
                     turn += 1
                     c = class_of(elements) if len(elements) and doc_id is not None else None
                     if c is None or c in seen:
-                        rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, None, None))
+                        rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, None))
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(c)
-                    rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, sketch(elements, NARROW), sketch(elements, WIDE)))
+                    rows.append((-1 - turn % 4096, None, doc_id, digest, len(elements), c, sketch(elements, BITS)))
                     for f, at, values in signatures(elements, threshold):
                         keys.append((f << 32) + at // PARTS)
                         sums.append(values)
@@ -262,9 +263,9 @@ def group(signed: DataFrame) -> DataFrame:
             for x in blobs:
                 n = int(np.frombuffer(x, "<u4", 1)[0])
                 digests.append(np.frombuffer(x, "V16", n, 4))
-                counts = np.frombuffer(x, "<u4", n, 4 + 16 * n)
+                counts = np.frombuffer(x, "<u1", n, 4 + 16 * n).astype(np.int64)
                 owner.append(np.repeat(np.arange(ahead, ahead + n), counts))
-                values.append(np.frombuffer(x, "<u8", int(counts.sum()), 4 + 20 * n))
+                values.append(np.frombuffer(x, "<u4", int(counts.sum()), 4 + 17 * n))
                 ahead += n
             blobs.clear()
             names = np.concatenate(digests)
@@ -289,7 +290,7 @@ def group(signed: DataFrame) -> DataFrame:
                     if gid not in known:
                         known.add(gid)
                         for k in range(len(members)):
-                            yield gid, len(members), None, None, None, found[16 * k : 16 * k + 16], None, None
+                            yield gid, len(members), None, None, None, found[16 * k : 16 * k + 16], None
 
         rows: list[tuple] = []
         for b in batches:
@@ -308,7 +309,7 @@ def group(signed: DataFrame) -> DataFrame:
             plain = pa.array([i for i, x in enumerate(blob) if x is None], pa.int64())
             kept = b.take(plain)
             none = pa.nulls(len(plain), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("digest"), kept.column("n"), kept.column("class"), kept.column("narrow"), kept.column("wide")], [n for n, _ in schema])
+            yield pa.RecordBatch.from_arrays([none, none, kept.column("doc_id"), kept.column("digest"), kept.column("n"), kept.column("class"), kept.column("sketch")], [n for n, _ in schema])
         if blobs:
             rows += groups()
         yield _record(schema, rows)
@@ -423,7 +424,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, path: str, w
     it is paired with.  The partners of a class with more than ``hub`` of them are split over several tasks.
     """
     wanted = pairs.select(F.col("ra").alias("no")).unionByName(pairs.select(F.col("rb").alias("no"))).distinct()
-    wanted = wanted.join(classes, "no").select(F.col("rep").alias("doc_id")).distinct()
+    # Written, so that its true size decides how the texts meet it: a small one spares their shuffle.
+    wanted = materialise(wanted.join(classes, "no").select(F.col("rep").alias("doc_id")).distinct(), f"{path}/wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -466,12 +468,11 @@ def _rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """
     path = scratch_dir(docs.sparkSession)
     grouped = materialise(group(sign(docs, width, threshold, unit_counts(docs, threshold))), f"{path}/grouped")
-    rows = grouped.filter("gid is null").select("doc_id", "digest", "n", "class", "narrow", "wide")
-    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("narrow").alias("narrow"), F.min("wide").alias("wide"))
+    rows = grouped.filter("gid is null").select("doc_id", "digest", "n", "class", "sketch")
+    classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     classes = materialise(classes.withColumn("no", F.monotonically_increasing_id()), f"{path}/classes")
     members = grouped.filter("gid is not null").select("gid", "size", "class").distinct().join(classes, "class")
-    sketches = F.when(F.col("size") <= SMALL, F.col("narrow")).otherwise(F.col("wide"))
-    members = materialise(members.select("gid", "size", "class", "no", "n", sketches.alias("sketch")), f"{path}/members")
+    members = materialise(members.select("gid", "size", "class", "no", "n", "sketch"), f"{path}/members")
     small, large = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
     is_open = not large.isEmpty()
     found = small_group_pairs(small, threshold)
@@ -489,10 +490,11 @@ def _rows(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     labels = labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())  # smallest nodes too
     labelled = materialise(labels.join(classes, F.col("node") == F.col("no")).select("class", "label", "rep"), f"{path}/labelled")
     least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
-    component = materialise(labelled.join(least, "label").select(F.col("class").alias("c"), "label", "component"), f"{path}/components")
-    named = rows.select("doc_id", "digest", F.col("n").alias("n_shingles"), "class").join(classes.select(F.col("class").alias("k"), "no", "rep"), F.col("class") == F.col("k"), "left")
-    named = named.join(component, F.col("class") == F.col("c"), "left")
-    return named.select("doc_id", "digest", "n_shingles", F.coalesce("label", "no").alias("root"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    component = labelled.join(least, "label").select("class", "label", "component")
+    named = classes.select("class", "no", "rep").join(component, "class", "left")
+    named = materialise(named.select("class", F.coalesce("label", "no").alias("root"), F.coalesce("component", "rep").alias("component")), f"{path}/components")
+    named = rows.select("doc_id", "digest", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    return named.select("doc_id", "digest", "n_shingles", "root", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def join(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

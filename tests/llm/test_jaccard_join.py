@@ -80,7 +80,7 @@ def test_linked_sets_share_a_signature():
         if len(a) and len(b) and 100 * both >= 80 * (len(a) + len(b) - both) and both < max(len(a), len(b)):
             signs = [{(f, int(p), int(v)) for f, at, values in jj.signatures(x, 80) for p, v in zip(at, values)} for x in (a, b)]
             assert signs[0] & signs[1]
-            x = jj.folded([jj.sketch(a, 3), jj.sketch(b, 8)])
+            x = jj.folded([jj.sketch(a, 4), jj.sketch(b, 8)])
             assert jj.may_link(len(a), len(b), x[0], x[1], 80)
             assert jj.linked(a, b, 80) and jj.linked(b, a, 80)
 
