@@ -29,38 +29,45 @@ llc llp ltd limited inc incorporated corp corporation co company pvt private plc
 sarl sas sasu eurl sa gmbh
 www http https com net org info biz in fr us
 """.split()
-ADDRESS_WORDS = dict(
-    x.split(":")
-    for x in """
-rd:road ave:avenue av:avenue blvd:boulevard ln:lane dr:drive ct:court pl:place sq:square hwy:highway pkwy:parkway
-cir:circle apt:apartment ste:suite fl:floor bldg:building no:number opp:opposite nr:near rue:rue bd:boulevard
-""".split()
-)
+ADDRESS_WORDS = {
+    "rd": "road", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "ln": "lane", "dr": "drive", "ct": "court", "pl": "place",
+    "sq": "square", "hwy": "highway", "pkwy": "parkway", "cir": "circle", "apt": "apartment", "ste": "suite", "fl": "floor", "bldg": "building",
+    "no": "number", "opp": "opposite", "nr": "near", "rue": "rue", "bd": "boulevard",
+}
 COUNTRY_WORDS = {
-    "France": dict(
-        x.split(":")
-        for x in """
-r:rue st:saint ste:sainte all:allee al:allee ch:chemin che:chemin chem:chemin crs:cours q:quai imp:impasse rte:route
-fg:faubourg fbg:faubourg bld:boulevard bvd:boulevard pl:place res:residence bat:batiment sq:square prom:promenade
-""".split()
-    )
-}
+    "France": {
+        "r": "rue", "st": "saint", "ste": "sainte", "all": "allee", "al": "allee", "ch": "chemin", "che": "chemin", "chem": "chemin",
+        "crs": "cours", "q": "quai", "imp": "impasse", "rte": "route", "fg": "faubourg", "fbg": "faubourg", "bld": "boulevard", "bvd": "boulevard",
+        "pl": "place", "res": "residence", "bat": "batiment", "sq": "square", "prom": "promenade",
+    },
+}
 MIN_GLUED, MIN_EXACT_ADDRESS = 6, 8
 POSTAL_WIDTHS = (5, 6)
 INDIC_BLOCKS = (0x0900, 0x0980, 0x0A00, 0x0A80, 0x0B00, 0x0B80, 0x0C00, 0x0C80, 0x0D00)
-INDIC_CONSONANTS = """
-15:k 16:kh 17:g 18:gh 19:ng 1a:ch 1b:chh 1c:j 1d:jh 1e:ny 1f:t 20:th 21:d 22:dh 23:n 24:t 25:th 26:d 27:dh 28:n 29:n
-2a:p 2b:ph 2c:b 2d:bh 2e:m 2f:y 30:r 31:r 32:l 33:l 34:l 35:v 36:sh 37:sh 38:s 39:h 58:k 59:kh 5a:g 5b:j 5c:r 5d:r 5e:f 5f:y
-"""
-INDIC_SIGNS = "3e:a 3f:i 40:i 41:u 42:u 43:ri 44:ri 45:e 46:e 47:e 48:ai 49:o 4a:o 4b:o 4c:au 62:l 63:l"
-INDIC_VOWELS = "05:a 06:a 07:i 08:i 09:u 0a:u 0b:ri 0c:li 0d:e 0e:e 0f:e 10:ai 11:o 12:o 13:o 14:au 60:ri 61:li"
-INDIC_NASALS = "01:n 02:n 03:h"
+INDIC_CONSONANTS = {
+    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "ng", 0x1A: "ch", 0x1B: "chh", 0x1C: "j", 0x1D: "jh", 0x1E: "ny",
+    0x1F: "t", 0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n",
+    0x29: "n", 0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x31: "r", 0x32: "l",
+    0x33: "l", 0x34: "l", 0x35: "v", 0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h", 0x58: "k", 0x59: "kh", 0x5A: "g",
+    0x5B: "j", 0x5C: "r", 0x5D: "r", 0x5E: "f", 0x5F: "y",
+}
+INDIC_SIGNS = {
+    0x3E: "a", 0x3F: "i", 0x40: "i", 0x41: "u", 0x42: "u", 0x43: "ri", 0x44: "ri", 0x45: "e", 0x46: "e", 0x47: "e",
+    0x48: "ai", 0x49: "o", 0x4A: "o", 0x4B: "o", 0x4C: "au", 0x62: "l", 0x63: "l",
+}
+INDIC_VOWELS = {
+    0x05: "a", 0x06: "a", 0x07: "i", 0x08: "i", 0x09: "u", 0x0A: "u", 0x0B: "ri", 0x0C: "li", 0x0D: "e", 0x0E: "e",
+    0x0F: "e", 0x10: "ai", 0x11: "o", 0x12: "o", 0x13: "o", 0x14: "au", 0x60: "ri", 0x61: "li",
+}
+INDIC_NASALS = {
+    0x01: "n", 0x02: "n", 0x03: "h",
+}
 INDIC_VIRAMA, INDIC_NUKTA, INDIC_DANDAS, INDIC_DIGIT_ZERO = 0x4D, 0x3C, (0x64, 0x65), 0x66
 ZERO_WIDTH = "‌‍­"
 
 
-def _spread(text: str) -> dict[str, str]:
-    return {chr(block + int(k, 16)): v for k, v in (x.split(":") for x in text.split()) for block in INDIC_BLOCKS}
+def _spread(table: dict[int, str]) -> dict[str, str]:
+    return {chr(block + k): v for k, v in table.items() for block in INDIC_BLOCKS}
 
 
 _CONSONANTS, _SIGNS = _spread(INDIC_CONSONANTS), _spread(INDIC_SIGNS)
