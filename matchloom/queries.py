@@ -3,14 +3,12 @@
 Documents and parts serve as records, line items as scored pairs (see the views below).  Doubles are rounded on both
 sides, since sums depend on their order in the last digits.
 
-The SQL of some queries reads 200 characters of a document's body or searches with small caps or
-filters its input by id; ``<query>_whole`` reads whole texts and tables with the caps of the plans (last section).
+All read whole texts and whole tables; candidate searches use the caps of the plans (``blocking_cap`` shows a small one).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from matchloom.functions import text as tx
 from matchloom.operators import blocking, chargram, compete, context, decide, duplicates, features, keys, labels, metrics, records, select, splits, stats
 from matchloom.schema import BITS, CHANNELS, EXTRA_CHANNELS
+from matchloom.scratch import held
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +41,7 @@ def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
 
 DOC_RECORDS = """doc_records AS (
   SELECT concat('S', CAST(substr(source, 4) AS INT) % 3 + 1, '-', doc_id) AS entity_id, CAST(substr(source, 4) AS INT) % 3 + 1 AS src, doc_id AS id,
-         split_part(text, chr(10), 1) AS business_name, substr(text, length(split_part(text, chr(10), 1)) + 2, 200) AS business_address, lang AS country
+         split_part(text, chr(10), 1) AS business_name, substr(text, length(split_part(text, chr(10), 1)) + 2) AS business_address, lang AS country
   FROM documents)"""
 PART_RECORDS = """part_records AS (
   SELECT concat('S', p_partkey % 3 + 1, '-', p_partkey) AS entity_id, p_partkey % 3 + 1 AS src, p_partkey AS id, p_name AS business_name,
@@ -78,10 +77,10 @@ p AS (SELECT *, CASE WHEN length(g) >= 6 THEN g ELSE '' END AS glued FROM (SELEC
 DOCS, PARTS = prepared_sql("doc_records", DOC_RECORDS), prepared_sql("part_records", PART_RECORDS)
 
 
-def doc_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
     src, name = F.expr("cast(substr(source, 4) as int) % 3 + 1"), F.split_part("text", F.lit("\n"), F.lit(1))
-    rest = F.substr("text", F.length(name) + 2) if whole else F.substring("text", F.length(name) + 2, F.lit(200))
+    rest = F.substr("text", F.length(name) + 2)
     return d.select(F.concat(F.lit("S"), src, F.lit("-"), "doc_id").alias("entity_id"), name.alias("business_name"), rest.alias("business_address"), F.col("lang").alias("country"))
 
 
@@ -95,8 +94,11 @@ def prep(frame: DataFrame) -> DataFrame:
     return records.prepared(records.with_codes(frame))
 
 
-def docs(spark, sf_dir, whole=False) -> DataFrame:
-    return prep(doc_records(spark, sf_dir, whole))
+CAP, K, K_WIDE, K_FORMULA = 3000, 25, 150, 10  # those of the plans
+
+
+def docs(spark, sf_dir) -> DataFrame:
+    return prep(doc_records(spark, sf_dir))
 
 
 def parts(spark, sf_dir) -> DataFrame:
@@ -152,16 +154,16 @@ def _truth_lists(spark, sf_dir) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT l_orderkey AS a, l_partkey AS t FROM lineitem), o AS (SELECT o_orderkey AS a FROM orders WHERE o_orderkey % 7 <> 0),
-tr AS (SELECT DISTINCT a FROM e), known AS (SELECT p_partkey AS t FROM part WHERE p_partkey % 11 <> 0)
+WITH e AS (SELECT l_orderkey AS a, l_partkey AS t FROM lineitem), o AS (SELECT o_orderkey AS a FROM orders),
+tr AS (SELECT DISTINCT a FROM e), known AS (SELECT p_partkey AS t FROM part)
 SELECT 'truth_without_record' AS problem, (SELECT count(*) FROM tr WHERE a NOT IN (SELECT a FROM o)) AS n
 UNION ALL SELECT 'record_without_truth', (SELECT count(*) FROM o WHERE a NOT IN (SELECT a FROM tr))
 UNION ALL SELECT 'unknown_target', (SELECT count(*) FROM e WHERE t NOT IN (SELECT t FROM known))
 UNION ALL SELECT 'repeated_in_list', (SELECT count(*) FROM (SELECT a, t FROM e GROUP BY a, t HAVING count(*) > 1))
 UNION ALL SELECT 'claimed_twice', (SELECT count(*) FROM (SELECT t FROM (SELECT DISTINCT a, t FROM e) GROUP BY t HAVING count(*) > 1))""")
-def truth_audit(spark, sf_dir, whole=False):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("true" if whole else "o_orderkey % 7 <> 0").select(F.concat(F.lit("S1-"), "o_orderkey").alias("entity_id"))
-    t = spark.read.parquet(f"{sf_dir}/part.parquet").filter("true" if whole else "p_partkey % 11 <> 0").select(F.concat(F.lit("S2-"), "p_partkey").alias("entity_id"))
+def truth_audit(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("S1-"), "o_orderkey").alias("entity_id"))
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("S2-"), "p_partkey").alias("entity_id"))
     return labels.truth_audit(o, t, _truth_lists(spark, sf_dir))
 
 
@@ -192,9 +194,9 @@ def address_views(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, regexp_replace(concat(o_orderkey, '-', o_custkey, ' 00', o_orderkey), '([0-9])-([0-9])', '\\1\\2', 'g') AS joined,
-  CASE WHEN ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') = '' THEN '0' ELSE ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') END AS bare FROM orders WHERE o_orderkey > 9""")
-def number_forms(spark, sf_dir, whole=False):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("true" if whole else "o_orderkey > 9")
+  CASE WHEN ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') = '' THEN '0' ELSE ltrim(substr(CAST(o_orderkey AS VARCHAR), 2), '0') END AS bare FROM orders""")
+def number_forms(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.select("o_orderkey", tx.join_hyphens(F.concat("o_orderkey", F.lit("-"), "o_custkey", F.lit(" 00"), "o_orderkey")).alias("joined"), tx.without_zeros(F.substring(F.col("o_orderkey").cast("string"), 2, 30)).alias("bare"))
 
 
@@ -206,8 +208,8 @@ freq AS (SELECT field, country AS scope, token, count(*) AS df FROM rows GROUP B
 
 
 @query(f"{DOCS}, {FREQ} SELECT field, scope, token, df FROM freq")
-def token_freq(spark, sf_dir, whole=False):
-    return stats.token_freq(docs(spark, sf_dir, whole))
+def token_freq(spark, sf_dir):
+    return stats.token_freq(docs(spark, sf_dir))
 
 
 @query(f"""{PARTS}, {FREQ}, known AS (SELECT DISTINCT scope AS country FROM freq WHERE scope <> '*'),
@@ -270,8 +272,8 @@ def _key_sides(p: DataFrame, channels=CHANNELS) -> tuple[DataFrame, DataFrame]:
 
 
 @query(f"{DOCS}, {BLOCKS} SELECT country, channel, key, size FROM blk")
-def block_sizes(spark, sf_dir, whole=False):
-    return blocking.block_sizes(_key_sides(docs(spark, sf_dir, whole))[1])
+def block_sizes(spark, sf_dir):
+    return blocking.block_sizes(_key_sides(docs(spark, sf_dir))[1])
 
 
 @query(f"{PARTS}, {BLOCKS} SELECT channel, count(*) AS keys, round(avg(size), 6) AS mean_size, max(size) AS max_size FROM blk GROUP BY channel")
@@ -280,7 +282,7 @@ def block_profile(spark, sf_dir):
 
 
 def _candidates(p: DataFrame, cap: int, k: int) -> DataFrame:
-    a, t = _key_sides(p)
+    a, t = _key_sides(held(p))  # block sizes, anchors and targets read it
     return blocking.candidates(a, t, cap, k)
 
 
@@ -291,9 +293,9 @@ def _shown(c: DataFrame) -> DataFrame:
     return c.select("anchor", "code", F.col("source").cast("int").alias("source"), F.round(F.col("score").cast("double"), 3).alias("score"), F.col("channels").cast("int").alias("channels"), F.col("ret_rank").cast("int").alias("ret_rank"))
 
 
-@query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} {TOP}")
-def blocking_topk(spark, sf_dir, whole=False, cap=100, k=5):
-    return _shown(_candidates(docs(spark, sf_dir, whole), cap, k))
+@query(f"{DOCS}, {BLOCKS}, {_hits(CAP)}, {_top(K)} {TOP}")
+def blocking_topk(spark, sf_dir, cap=CAP, k=K):
+    return _shown(_candidates(docs(spark, sf_dir), cap, k))
 
 
 @query(f"{PARTS}, {BLOCKS}, {_hits(8)}, {_top(10)} {TOP}")
@@ -301,19 +303,19 @@ def blocking_cap(spark, sf_dir):
     return _shown(_candidates(parts(spark, sf_dir), 8, 10))
 
 
-@query(f"""{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)}, n AS (SELECT country, channel, key, size FROM blk),
+@query(f"""{DOCS}, {BLOCKS}, {_hits(CAP)}, {_top(K)}, n AS (SELECT country, channel, key, size FROM blk),
 tn AS (SELECT t.code, t.channel, n.size FROM tk t JOIN n USING (country, channel, key)), an AS (SELECT a.anchor, a.channel, n.size FROM ak a JOIN n USING (country, channel, key))
 SELECT c.anchor, c.code, coalesce(t1.size, 0) AS t_name_cnt, coalesce(t2.size, 0) AS t_addr_cnt, coalesce(a1.size, 0) AS a_name_cnt, coalesce(a2.size, 0) AS a_addr_cnt FROM top c
 LEFT JOIN tn t1 ON t1.code = c.code AND t1.channel = 'name_exact' LEFT JOIN tn t2 ON t2.code = c.code AND t2.channel = 'addr_exact'
 LEFT JOIN an a1 ON a1.anchor = c.anchor AND a1.channel = 'name_exact' LEFT JOIN an a2 ON a2.anchor = c.anchor AND a2.channel = 'addr_exact'""")
-def pool_counts(spark, sf_dir, whole=False, cap=100, k=5):
-    a, t = _key_sides(docs(spark, sf_dir, whole))
+def pool_counts(spark, sf_dir, cap=CAP, k=K):
+    a, t = _key_sides(held(docs(spark, sf_dir)))
     return blocking.pool_counts(blocking.candidates(a, t, cap, k), a, t).select("anchor", "code", "t_name_cnt", "t_addr_cnt", "a_name_cnt", "a_addr_cnt")
 
 
-@query(f"{DOCS}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT entity_id FROM p WHERE code IN (SELECT code FROM top)")
-def needed_records(spark, sf_dir, whole=False, cap=100, k=5):
-    p = docs(spark, sf_dir, whole)
+@query(f"{DOCS}, {BLOCKS}, {_hits(CAP)}, {_top(K)} SELECT entity_id FROM p WHERE code IN (SELECT code FROM top)")
+def needed_records(spark, sf_dir, cap=CAP, k=K):
+    p = docs(spark, sf_dir)
     return blocking.needed_records(p, _candidates(p, cap, k)).select("entity_id")
 
 
@@ -321,13 +323,13 @@ def _jaccard(a: Column, t: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(t) > 0), F.size(F.array_intersect(a, t)) / F.size(F.array_union(a, t)))
 
 
-@query(f"""{DOCS}, {BLOCKS}, {_hits(100)}, {_top(30)},
+@query(f"""{DOCS}, {BLOCKS}, {_hits(CAP)}, {_top(K_WIDE)},
 f AS (SELECT c.*, coalesce(len(list_intersect(a.ntok, t.ntok)) / nullif(len(list_distinct(list_concat(a.ntok, t.ntok))), 0), 0) + 1e-6 * CAST(c.score AS DOUBLE) AS formula
   FROM top c JOIN p a ON a.src = 1 AND a.id = c.anchor JOIN p t ON t.code = c.code),
 r AS (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY round(formula, 9) DESC, code) AS fr FROM f)
-SELECT anchor, code, CAST(ret_rank AS INT) AS ret_rank FROM r WHERE ret_rank < 3 OR fr <= 2""")
-def formula_select(spark, sf_dir, whole=False, cap=100, k=3, k_wide=30, k_formula=2):
-    p = docs(spark, sf_dir, whole)
+SELECT anchor, code, CAST(ret_rank AS INT) AS ret_rank FROM r WHERE ret_rank < {K} OR fr <= {K_FORMULA}""")
+def formula_select(spark, sf_dir, cap=CAP, k=K, k_wide=K_WIDE, k_formula=K_FORMULA):
+    p = held(docs(spark, sf_dir))
     a, t = sides(p)
     wide = _candidates(p, cap, k_wide).join(a.select("anchor", F.col("ntok").alias("na")), "anchor").join(t.select("code", F.col("ntok").alias("nt")), "code")
     wide = wide.withColumn("formula", F.round(select.formula(_jaccard(F.col("na"), F.col("nt")), F.lit(None).cast("double"), F.col("score")), 9))
@@ -337,34 +339,26 @@ def formula_select(spark, sf_dir, whole=False, cap=100, k=3, k_wide=30, k_formul
 _EXTRA = "addr_pair"
 
 
-@query(f"""{PARTS}, {BLOCKS}, {_hits(8)}, {_top(3)},
+@query(f"""{PARTS}, {BLOCKS}, {_hits(CAP)}, {_top(K)},
 xk AS (SELECT code, id, src, country, unnest({KEY_SQL[_EXTRA]}) AS key FROM p),
-xb AS (SELECT country, key, count(*) AS size FROM xk WHERE src <> 1 GROUP BY ALL HAVING count(*) <= 50),
+xb AS (SELECT country, key, count(*) AS size FROM xk WHERE src <> 1 GROUP BY ALL HAVING count(*) <= {CAP}),
 xs AS (SELECT a.id AS anchor, t.code, any_value(t.src) AS source, CAST(round(sum(CAST(CAST(ln(1e7) - ln(b.size) AS FLOAT) AS DOUBLE)), 4) AS FLOAT) AS score
   FROM xk a JOIN xb b USING (country, key) JOIN xk t USING (country, key) WHERE a.src = 1 AND t.src <> 1 GROUP BY a.id, t.code),
 xt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY score DESC, code) AS rn FROM xs) WHERE rn <= 2)
 SELECT coalesce(c.anchor, x.anchor) AS anchor, coalesce(c.code, x.code) AS code, round(CAST(coalesce(c.score, x.score) AS DOUBLE), 3) AS score,
   CAST(coalesce(c.channels, 0) | CASE WHEN x.code IS NULL THEN 0 ELSE {BITS[_EXTRA]} END AS INT) AS channels, CAST(coalesce(c.ret_rank, 150) AS INT) AS ret_rank
 FROM top c FULL JOIN xt x ON c.anchor = x.anchor AND c.code = x.code""")
-def extra_channel_quota(spark, sf_dir, cap=8, k=3, extra_cap=50):
-    p = parts(spark, sf_dir)
-    a, t = _key_sides(p, CHANNELS + (_EXTRA,))
+def extra_channel_quota(spark, sf_dir, cap=CAP, k=K, extra_cap=CAP):
+    a, t = _key_sides(held(parts(spark, sf_dir)), CHANNELS + (_EXTRA,))
     found = select.add_quota(blocking.candidates(a, t, cap, k, CHANNELS), blocking.candidates(a, t, extra_cap, 2, (_EXTRA,)), 150)
     return _shown(found).drop("source")
 
 
-GRAMS = f"""g AS (SELECT code, id, src, country, unnest(list_distinct(list_transform(range(1, length(x) - 2), lambda i: substr(x, i, 4)))) AS gram
-  FROM (SELECT *, CASE WHEN glued <> '' THEN glued ELSE replace(nf, ' ', '') END AS x FROM p) WHERE length(x) >= 4)"""
-
-
-@query(f"""{DOCS}, {GRAMS}, nc AS (SELECT country, count(*) AS n FROM p WHERE src <> 1 GROUP BY country),
-df AS (SELECT country, gram, count(*) AS df FROM g WHERE src <> 1 GROUP BY ALL HAVING count(*) <= 40),
-s AS (SELECT a.id AS anchor, t.code, any_value(t.src) AS source, round(sum(ln(1 + nc.n / df.df)), 6) AS score, count(*) AS shared
-  FROM g a JOIN df USING (country, gram) JOIN g t USING (country, gram) JOIN nc USING (country) WHERE a.src = 1 AND t.src <> 1 GROUP BY a.id, t.code HAVING count(*) >= 2)
-SELECT anchor, code, round(score, 2) AS score, shared FROM (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY score DESC, code) AS rn FROM s) WHERE rn <= 5""")
+@query()
 def chargram_topk(spark, sf_dir):
-    a, t = sides(docs(spark, sf_dir))
-    found = chargram.gram_candidates(chargram.gram_rows(a, "anchor", ("name",)), chargram.gram_rows(t, "code", ("name",)), t, 40, 5)
+    """Name and address grams with the operator's own caps; tested on a fixture."""
+    a, t = sides(held(docs(spark, sf_dir)))
+    found = chargram.gram_candidates(chargram.gram_rows(a, "anchor"), chargram.gram_rows(t, "code"), t)
     return found.select("anchor", "code", F.round("score", 2).alias("score"), "shared")
 
 
@@ -545,10 +539,10 @@ def decide_expected_f05(spark, sf_dir):
     return decide.expected_f05(pairs(spark, sf_dir)).select("anchor", "target", "keep")
 
 
-@query(f"""WITH {PAIR_VIEW}, {OWNER}, free AS (SELECT * FROM pairs WHERE target NOT IN (SELECT target FROM owned WHERE keep AND anchor % 2 = 0) AND p >= 0.5)
+@query(f"""WITH {PAIR_VIEW}, {OWNER}, free AS (SELECT * FROM pairs WHERE target NOT IN (SELECT target FROM owned WHERE keep) AND p >= 0.5)
 SELECT anchor, target FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY p DESC, anchor) AS rn FROM free) WHERE rn = 1""")
-def decide_unclaimed(spark, sf_dir, whole=False):
-    claimed = _owned(spark, sf_dir).filter("keep" if whole else "keep and anchor % 2 = 0")
+def decide_unclaimed(spark, sf_dir):
+    claimed = _owned(spark, sf_dir).filter("keep")
     return decide.unclaimed_rescue(pairs(spark, sf_dir), claimed, 0.5).select("anchor", "target")
 
 
@@ -643,24 +637,24 @@ def run_summary(spark, sf_dir):
     return rounded(metrics.run_summary(scored, anchors(spark, sf_dir, scored)))
 
 
-REASONS = f"""{SCORES}, truth AS (SELECT anchor, target FROM pairs WHERE label = 1), found AS (SELECT * FROM owned WHERE target % 5 <> 0),
+REASONS = f"""{SCORES}, truth AS (SELECT anchor, target FROM pairs WHERE label = 1), found AS (SELECT * FROM owned),
 reasons AS (SELECT t.anchor, t.target, CASE WHEN f.p IS NULL THEN 'not_retrieved' WHEN f.p < 0.6 THEN 'below_threshold' ELSE 'lost_ownership' END AS reason FROM truth t LEFT JOIN found f ON f.anchor = t.anchor AND f.target = t.target WHERE NOT coalesce(f.keep, false)
   UNION ALL SELECT anchor, target, 'false_positive' FROM found WHERE keep AND label = 0)"""
 
 
-def _reasons(spark, sf_dir, whole=False) -> DataFrame:
+def _reasons(spark, sf_dir) -> DataFrame:
     scored = _owned(spark, sf_dir)
-    return metrics.error_reasons(pairs(spark, sf_dir).filter("label = 1"), scored.filter("true" if whole else "target % 5 <> 0"), 0.6)
+    return metrics.error_reasons(pairs(spark, sf_dir).filter("label = 1"), scored, 0.6)
 
 
 @query(f"WITH {REASONS} SELECT reason, count(*) AS n FROM reasons GROUP BY reason")
-def error_reasons(spark, sf_dir, whole=False):
-    return _reasons(spark, sf_dir, whole).groupBy("reason").agg(F.count("*").alias("n"))
+def error_reasons(spark, sf_dir):
+    return _reasons(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {REASONS}, c AS (SELECT anchor, count(*) AS errors FROM reasons GROUP BY anchor) SELECT r.reason, count(*) AS n, round(sum((1 - s.f05) / c.errors), 4) AS loss FROM reasons r JOIN c USING (anchor) JOIN scores s USING (anchor) GROUP BY r.reason")
-def loss_by_reason(spark, sf_dir, whole=False):
-    return rounded(metrics.loss_by_reason(_reasons(spark, sf_dir, whole), _scores(spark, sf_dir)), 4)
+def loss_by_reason(spark, sf_dir):
+    return rounded(metrics.loss_by_reason(_reasons(spark, sf_dir), _scores(spark, sf_dir)), 4)
 
 
 DOC_TRUTH = "truth AS (SELECT a.id AS anchor, CAST(t.src AS BIGINT) * 2000000000 + t.id AS code FROM (SELECT d.*, md5(x.text) AS h FROM doc_records d JOIN documents x ON x.doc_id = d.id) a JOIN (SELECT d.*, md5(x.text) AS h FROM doc_records d JOIN documents x ON x.doc_id = d.id) t ON a.h = t.h AND a.country = t.country WHERE a.src = 1 AND t.src <> 1)"
@@ -673,25 +667,25 @@ def doc_truth(spark, sf_dir) -> DataFrame:
     return a.join(t, ["h", "country"]).select("anchor", "code")
 
 
-@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT c.anchor, c.code, CAST(t.code IS NOT NULL AS INT) AS label FROM top c LEFT JOIN truth t ON t.anchor = c.anchor AND t.code = c.code")
-def label_pairs(spark, sf_dir, whole=False, cap=100, k=5):
-    return labels.label(_candidates(docs(spark, sf_dir, whole), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
+@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(CAP)}, {_top(K)} SELECT c.anchor, c.code, CAST(t.code IS NOT NULL AS INT) AS label FROM top c LEFT JOIN truth t ON t.anchor = c.anchor AND t.code = c.code")
+def label_pairs(spark, sf_dir, cap=CAP, k=K):
+    return labels.label(_candidates(docs(spark, sf_dir), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).select("anchor", "code", F.col("label").cast("int").alias("label"))
 
 
-@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(3)}, {_top(1)} SELECT t.anchor, t.code FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code WHERE c.code IS NULL")
-def missing_positives(spark, sf_dir, whole=False, cap=3, k=1):
-    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), cap, k), ["anchor", "code"])
+@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(CAP)}, {_top(K)} SELECT t.anchor, t.code FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code WHERE c.code IS NULL")
+def missing_positives(spark, sf_dir, cap=CAP, k=K):
+    return labels.missing_positives(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir), cap, k), ["anchor", "code"])
 
 
-@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT b.channel, round(avg(CASE WHEN (c.channels & b.bit) <> 0 THEN 1.0 ELSE 0 END), 6) AS share FROM top c JOIN truth t ON t.anchor = c.anchor AND t.code = c.code, (VALUES {', '.join(f"('{c}', {BITS[c]})" for c in CHANNELS)}) AS b(channel, bit) GROUP BY b.channel")
-def channel_shares(spark, sf_dir, whole=False, cap=100, k=5):
-    found = labels.label(_candidates(docs(spark, sf_dir, whole), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
+@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(CAP)}, {_top(K)} SELECT b.channel, round(avg(CASE WHEN (c.channels & b.bit) <> 0 THEN 1.0 ELSE 0 END), 6) AS share FROM top c JOIN truth t ON t.anchor = c.anchor AND t.code = c.code, (VALUES {', '.join(f"('{c}', {BITS[c]})" for c in CHANNELS)}) AS b(channel, bit) GROUP BY b.channel")
+def channel_shares(spark, sf_dir, cap=CAP, k=K):
+    found = labels.label(_candidates(docs(spark, sf_dir), cap, k), doc_truth(spark, sf_dir), ["anchor", "code"]).filter("label = 1")
     return rounded(metrics.channel_shares(found, {c: BITS[c] for c in CHANNELS}))
 
 
-@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(100)}, {_top(5)} SELECT CASE WHEN c.code IS NULL THEN 'never found' WHEN c.ret_rank < 1 THEN 'below 1' WHEN c.ret_rank < 3 THEN 'below 3' ELSE 'over 3' END AS band, count(*) AS n FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code GROUP BY 1")
-def rank_depth(spark, sf_dir, whole=False, cap=100, k=5):
-    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir, whole), cap, k), (1, 3))
+@query(f"{DOCS}, {DOC_TRUTH}, {BLOCKS}, {_hits(CAP)}, {_top(K)} SELECT CASE WHEN c.code IS NULL THEN 'never found' WHEN c.ret_rank < 1 THEN 'below 1' WHEN c.ret_rank < 3 THEN 'below 3' ELSE 'over 3' END AS band, count(*) AS n FROM truth t LEFT JOIN top c ON t.anchor = c.anchor AND t.code = c.code GROUP BY 1")
+def rank_depth(spark, sf_dir, cap=CAP, k=K):
+    return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir), cap, k), (1, 3))
 
 
 @query()
@@ -739,17 +733,17 @@ EXACT = f"""WITH {DOC_RECORDS}, x AS (SELECT *, trim(regexp_replace(replace(lowe
 
 
 @query(f"{EXACT} SELECT entity_id, count(*) OVER (PARTITION BY country, n, a) AS copies FROM x WHERE length(n) >= 5 AND length(a) >= 12 QUALIFY count(*) OVER (PARTITION BY country, n, a) > 1")
-def exact_duplicates(spark, sf_dir, whole=False):
-    return duplicates.exact_groups(doc_records(spark, sf_dir, whole)).select("entity_id", "copies")
+def exact_duplicates(spark, sf_dir):
+    return duplicates.exact_groups(doc_records(spark, sf_dir)).select("entity_id", "copies")
 
 
-@query(f"""{EXACT}, g AS (SELECT CAST(src AS BIGINT) * 2000000000 + id AS code, country, n, a FROM x WHERE length(n) >= 5 AND length(a) >= 12 AND src <> 1), m AS (SELECT code // 7 AS anchor, code, (code % 100) / 100 AS p FROM g WHERE code % 3 = 0)
+@query(f"""{EXACT}, g AS (SELECT CAST(src AS BIGINT) * 2000000000 + id AS code, country, n, a FROM x WHERE length(n) >= 5 AND length(a) >= 12 AND src <> 1), m AS (SELECT code // 7 AS anchor, code, (code % 100) / 100 AS p FROM g)
 SELECT anchor, code, round(max(p), 6) AS p FROM (SELECT anchor, code, p FROM m UNION ALL SELECT m.anchor, o.code, m.p FROM m JOIN g s ON s.code = m.code JOIN g o ON o.country = s.country AND o.n = s.n AND o.a = s.a) GROUP BY ALL""")
-def duplicate_expansion(spark, sf_dir, whole=False):
-    r = records.with_codes(doc_records(spark, sf_dir, whole)).filter("source <> 1")
+def duplicate_expansion(spark, sf_dir):
+    r = records.with_codes(doc_records(spark, sf_dir)).filter("source <> 1")
     groups = duplicates.exact_groups(r)
     long = r.withColumn("n", duplicates.exact_text("business_name")).withColumn("a", duplicates.exact_text("business_address")).filter("length(n) >= 5 and length(a) >= 12")
-    matches = long.filter("true" if whole else "code % 3 = 0").select(F.floor(F.col("code") / 7).alias("anchor"), "code", ((F.col("code") % 100) / 100).alias("p"))
+    matches = long.select(F.floor(F.col("code") / 7).alias("anchor"), "code", ((F.col("code") % 100) / 100).alias("p"))
     return rounded(duplicates.expand_matches(matches, groups))
 
 
@@ -790,46 +784,3 @@ def event_windows(spark, sf_dir):
 
     out = event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
-
-
-# ---------------------------------------------------------------- whole texts, tables and searches
-
-WHOLE_RECORDS = DOC_RECORDS.replace(" + 2, 200)", " + 2)")
-WHOLE = (
-    "keys_addr_exact", "token_freq", "block_sizes", "blocking_topk", "pool_counts", "needed_records", "formula_select", "label_pairs", "missing_positives", "channel_shares", "rank_depth",
-    "exact_duplicates", "duplicate_expansion", "truth_audit", "error_reasons", "loss_by_reason", "decide_unclaimed", "number_forms",
-)
-FILTERS = (" WHERE o_orderkey % 7 <> 0", " WHERE p_partkey % 11 <> 0", " WHERE o_orderkey > 9", " AND anchor % 2 = 0", " WHERE target % 5 <> 0", " WHERE code % 3 = 0")
-
-CAP, K, K_WIDE, K_FORMULA = 3000, 25, 150, 10  # those of the plans
-SEARCHES = {n: {"cap": CAP, "k": K} for n in ("blocking_topk", "pool_counts", "needed_records", "label_pairs", "missing_positives", "channel_shares", "rank_depth")}
-SEARCHES["formula_select"] = {"cap": CAP, "k": K, "k_wide": K_WIDE, "k_formula": K_FORMULA}
-SEARCHES["extra_channel_quota"] = {"cap": CAP, "k": K, "extra_cap": CAP}
-
-
-def _unfiltered(sql: str) -> str:
-    for f in FILTERS:
-        sql = sql.replace(f, "")
-    return sql
-
-
-def _searched(sql: str) -> str:
-    """The SQL of a query with the caps of the plans."""
-    for cap in (100, 8, 3):
-        sql = sql.replace(_hits(cap), _hits(CAP))
-    sql = sql.replace(_top(30), _top(K_WIDE)).replace("ret_rank < 3 OR fr <= 2", f"ret_rank < {K} OR fr <= {K_FORMULA}").replace("count(*) <= 50)", f"count(*) <= {CAP})")
-    for k in (5, 3, 1):
-        sql = sql.replace(_top(k), _top(K))
-    return sql
-
-
-for _n in (*WHOLE, "extra_channel_quota"):
-    QUERIES[f"{_n}_whole"] = partial(QUERIES[_n], **({"whole": True} if _n in WHOLE else {}), **SEARCHES.get(_n, {}))
-    SQL[f"{_n}_whole"] = _searched(_unfiltered(SQL[_n].replace(DOC_RECORDS, WHOLE_RECORDS)))
-
-
-@query()
-def chargram_topk_whole(spark, sf_dir):
-    a, t = sides(docs(spark, sf_dir, whole=True))
-    found = chargram.gram_candidates(chargram.gram_rows(a, "anchor"), chargram.gram_rows(t, "code"), t)
-    return found.select("anchor", "code", F.round("score", 2).alias("score"), "shared")
