@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.llm.common import tidy
+from matchloom.llm.common import give_back, tidy
 
 NEVER, LAST, LONG = 1 << 60, 256, 512
 ROW = np.int64(1 << 20)  # more than the tokens of any file
@@ -120,6 +120,10 @@ class Automaton:
             words[tuple(symbols)] = t
         self._labels(words)
 
+    def __getstate__(self) -> dict:
+        """Tasks need the tables alone."""
+        return {k: v for k, v in self.__dict__.items() if k != "label"}
+
     def _arcs(self, gadgets: Gadgets, inner: set[int]) -> None:
         """Rows of missing arcs.  ``first[i], behind[i]`` are ``state * ROW + number`` of the i-th missing range."""
         number, stop = {}, {}
@@ -489,16 +493,18 @@ def encoder(of: Tokenizer) -> Encoder:
     return _HELD[of.path]
 
 
-def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool):
+def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool, most: int, slice_rows: int, slice_bytes: int):
+    """Texts go through in slices of some rows and bytes, with ``most`` words held: memory, not results, depends on these."""
     compiled = tokenizer(path or default_path())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = encoder(compiled)
+        held.words.most = most
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
+            for k in range(0, whole.num_rows, slice_rows):
+                b = whole.slice(k, slice_rows)
                 gc.disable()  # the cache holds no cycles, and scanning it again and again costs a fifth of the time
-                found = list(held.digests(b.column("text")))
+                found = list(held.digests(b.column("text"), slice_bytes))
                 gc.enable()
                 counts = pa.array([r[0] for r in found], pa.int64())
                 columns = [b.column("doc_id"), counts]
@@ -506,6 +512,7 @@ def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool):
                     flat = np.concatenate([np.zeros(0, np.int32), *(x for r in found for x in r[3])])
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.to_numpy())]).astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in found], pa.string()) for i in (1, 2))], names)
+            give_back()
 
     kinds = {"ids": "array<int>", "doc_id": "bigint", "n_tokens": "bigint"}
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
@@ -513,12 +520,13 @@ def _rows(docs: DataFrame, path: str | None, names: list[str], ids: bool):
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
-    return _rows(docs, path, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], False)
+    return _rows(docs, path, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], False, 400_000, 2000, 1 << 21)
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the tokens of every whole text and the digests."""
-    return _rows(docs, path, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"], True)
+    # Small slices and few words: earlier stages of a pipeline leave executors little memory.
+    return _rows(docs, path, ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"], True, 100_000, 500, 1 << 19)
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
 import tempfile
 import uuid
 
@@ -56,6 +55,15 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hands unused memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries
+        pass
+
+
 def tidy(run):
     """``run`` over Arrow batches that hands unused memory back to the system when the task ends.
 
@@ -65,11 +73,7 @@ def tidy(run):
     def whole(batches):
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # other C libraries
-            pass
+        give_back()
 
     return whole
 
@@ -121,5 +125,3 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
         h = mix64(h + GOLD) ^ words[k : n - width + 1 + k]
     return np.unique(mix64(h))
 
-
-SAFE = re.compile(r"[^A-Za-z0-9_-]+")
