@@ -13,17 +13,37 @@ def match_bucket(n: Column) -> Column:
 
 
 def deal(rows: DataFrame, strata: list[str], key: str, folds: int, seed: int) -> DataFrame:
-    """Adds ``fold``: members of each stratum in hash order, dealt in turn."""
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("tinyint"))
+    """Adds ``fold``: members of each stratum in hash order, dealt in turn.
+
+    Ranks are those of a stratum's earlier hash buckets and of the own bucket, so no task orders a whole stratum.
+    """
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    placed = rows.withColumns({"__h": h, "__bucket": F.shiftright(h, 52), "__stratum": F.to_json(F.struct(*strata))})
+    counts = placed.groupBy("__stratum", "__bucket").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("__stratum").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__stratum", "__bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__stratum", "__bucket").orderBy("__h", key)) - 1
+    ranked = placed.withColumn("__inside", inside).join(base, ["__stratum", "__bucket"])
+    return ranked.withColumn("fold", ((F.col("__base") + F.col("__inside")) % folds).cast("tinyint")).select(*rows.columns, "fold")
+
+
+def check_truth(anchors: DataFrame, targets: DataFrame, truth: DataFrame) -> None:
+    """Raises if a true pair names an unknown anchor or target, or if two anchors share a target."""
+    unknown = truth.join(anchors, "anchor", "left_anti").select(F.lit("anchor").alias("what"), F.col("anchor").alias("id"))
+    missing = truth.join(targets, "code", "left_anti").select(F.lit("target").alias("what"), F.col("code").alias("id"))
+    shared = truth.distinct().groupBy("code").count().filter("count > 1").select(F.lit("shared target").alias("what"), F.col("code").alias("id"))
+    found = unknown.unionByName(missing).unionByName(shared).limit(5).collect()
+    if found:
+        raise ValueError("truth does not fit the records: " + ", ".join(f"{r['what']} {r['id']}" for r in found))
 
 
 def make_split(anchors: DataFrame, targets: DataFrame, truth: DataFrame, folds: int = 5, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Folds of anchors (anchor, country) and targets (code, source, country); truth is (anchor, code).
 
     Anchors are dealt within (country, match count bucket); a matched target follows its owner; the others are
-    dealt within (country, source).
+    dealt within (country, source).  Truth that names unknown ids or shares a target is refused.
     """
+    check_truth(anchors, targets, truth)
     counts = truth.groupBy("anchor").agg(F.count("*").alias("n_true"))
     a = anchors.join(counts, "anchor", "left").fillna(0, ["n_true"]).withColumn("bucket", match_bucket(F.col("n_true")))
     a = deal(a, ["country", "bucket"], "anchor", folds, seed)

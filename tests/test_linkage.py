@@ -171,3 +171,23 @@ def test_truth_edges_and_checks(spark):
     assert [r["target_entity_id"] for r in labels.truth_edges(t).orderBy("position").collect()] == ["S2-1", "S3-2", "S2-1"]
     with pytest.raises(ValueError):
         labels.require_unique(labels.truth_edges(t), ["target_entity_id"], "ids")
+
+
+def test_split_refuses_truth_that_does_not_fit(spark):
+    anchors = spark.createDataFrame([(i, "x") for i in range(1, 5)], "anchor bigint, country string")
+    targets = spark.createDataFrame([(i, 2, None) for i in range(10, 15)], "code bigint, source int, country string")
+    truth = lambda rows: spark.createDataFrame(rows, "anchor bigint, code bigint")
+    for rows, what in (([(9, 10)], "anchor 9"), ([(1, 99)], "target 99"), ([(1, 10), (2, 10)], "shared target 10")):
+        with pytest.raises(ValueError, match=what):
+            splits.make_split(anchors, targets, truth(rows))
+    a, t = splits.make_split(anchors, targets, truth([(1, 10), (1, 11)]))
+    assert a.count() == 4 and t.count() == 5 and not splits.leaks(a, t, truth([(1, 10), (1, 11)])).count()
+
+
+def test_deal_is_a_rank_in_hash_order(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("s"))
+    want = rows.withColumn("fold", ((F.row_number().over(Window.partitionBy("s").orderBy(F.xxhash64("id", F.lit(4)), "id")) - 1) % 5).cast("tinyint"))
+    assert sorted(map(str, splits.deal(rows, ["s"], "id", 5, 4).collect())) == sorted(map(str, want.collect()))
