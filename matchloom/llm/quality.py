@@ -33,8 +33,8 @@ REPEATED = np.uint64(0x5851F42D4C957F2D)
 
 def shape(word: bytes) -> bytes:
     text = word.decode("utf-8", "replace")
-    marks = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in text[:64]))
-    return marks[:6].encode("utf-8", "replace")
+    marks = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in text))
+    return marks.encode("utf-8", "replace")
 
 
 class Words(dict):

@@ -184,7 +184,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -
         if group is not None:
             yield close()
 
-    hits = dealt.unionByName(asked).repartition("g").sortWithinPartitions("g", "asks").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    # A task a block: a hash of the block's number would put two of them in one task and none in another.
+    hits = dealt.unionByName(asked).repartitionById(blocks, F.col("g").cast("int")).sortWithinPartitions("g", "asks").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -4,6 +4,7 @@ import corpus_pipeline
 from matchloom.llm import line_dedup, mixing, queries
 from matchloom.llm.common import table
 from matchloom.llm.toxicity import toxicity
+from tests.llm.data import awkward, documents
 from tests.llm.test_jaccard_join import brute as links
 from tests.llm.test_line_dedup import brute as lines
 from tests.llm.test_mixing import brute_taken, size
@@ -36,6 +37,32 @@ def test_stages_one_by_one(spark, sf_dir):
     assert last.count() == mix.count() and all(r["n_tokens"] == len(r["ids"]) for r in last.collect())
 
 
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    """NULLs, repeated ids, empty and long texts and clashing columns end to end; then no rows at all."""
+    rows = awkward() + [(50, "unlike text of its own under a repeated id", "b"), (51, None, None), (None, None, None)]
+    labels = spark.createDataFrame([(4, 1, 0), (5, None, 1), (6, 1, None), (99, 0, 1)], "doc_id bigint, quality int, toxic int")
+    for name, docs in (("some", documents(spark, rows, clash=True)), ("none", documents(spark, [], clash=True))):
+        sf_dir = str(tmp_path / name)
+        docs.write.parquet(f"{sf_dir}/documents.parquet")
+        labels.write.parquet(f"{sf_dir}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf_dir)
+        assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+        got = out.collect()
+        assert {r["doc_id"] for r in got} <= {r[0] for r in rows} and all(r["n_tokens"] == len(r["ids"]) for r in got)
+        assert bool(got) == (name == "some")
+        stages = dict(corpus_pipeline.STAGES)
+        for stage in ("toxicity", "line_dedup", "jaccard_join", "mixing"):
+            assert stages[stage](spark, docs, sf_dir).columns == docs.columns
+
+
+def test_unlike_rows_of_one_id_reach_the_end(spark, tmp_path):
+    texts = [f"text number {i} " + " ".join(f"v{i}x{j}" for j in range(30)) for i in range(4)]
+    rows = [(50, texts[0], "a"), (50, texts[1], "a"), (60, texts[2], "a"), (61, texts[2] + " tail", "a"), (70, texts[3], "b")]
+    docs = documents(spark, rows)
+    kept = sorted((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect())
+    assert kept == sorted([(50, texts[0]), (50, texts[1]), (60, texts[2]), (70, texts[3])])
+
+
 def test_registered(spark, sf_dir):
     import __spark_entry__
 
