@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.operators.keys import channel_bit
+from matchloom.operators.labels import require_empty
 from matchloom.schema import IDF_REF, code_source
 
 KEY = ["country", "channel", "key"]
@@ -20,8 +21,21 @@ def block_sizes(target_keys: DataFrame) -> DataFrame:
 
 
 def block_profile(target_keys: DataFrame) -> DataFrame:
-    """(channel, keys, mean_size, max_size) over the blocks of each channel."""
-    return block_sizes(target_keys).groupBy("channel").agg(F.count("*").alias("keys"), F.avg("size").alias("mean_size"), F.max("size").alias("max_size"))
+    """(channel, keys, mean_size, p99_size, max_size) over the blocks of each channel; sizes are counted before the
+    percentile, whose state is the number of distinct sizes."""
+    spread = block_sizes(target_keys).groupBy("channel", "size").agg(F.count("*").alias("n"))
+    mean = F.sum(F.col("size") * F.col("n")) / F.sum("n")
+    return spread.groupBy("channel").agg(F.sum("n").alias("keys"), mean.alias("mean_size"), F.percentile("size", 0.99, F.col("n")).alias("p99_size"), F.max("size").alias("max_size"))
+
+
+def store_postings(target_keys: DataFrame, name: str, buckets: int) -> DataFrame:
+    """The posting table ``name``, written once in buckets of the join key and read back.
+
+    Block sizes and searches against it shuffle only the anchors' keys.  One bucket should fit a task: take about a
+    bucket for each 200 MB of postings.  An existing table is an error.
+    """
+    target_keys.select(*KEY, "code").write.bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(name)
+    return target_keys.sparkSession.table(name)
 
 
 def weighted_hits(anchor_keys: DataFrame, target_keys: DataFrame, cap: int) -> DataFrame:
@@ -64,6 +78,9 @@ def pool_counts(pairs: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame
     return out
 
 
-def needed_records(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The target records that occur in pairs, before any of their text is prepared."""
+def needed_records(records: DataFrame, pairs: DataFrame, check: bool = False) -> DataFrame:
+    """The target records that occur in pairs, before any of their text is prepared; with ``check``, a pair whose
+    target has no record is an error."""
+    if check:
+        require_empty(pairs.select("code").distinct().join(records, "code", "left_anti"), "pairs of unknown targets")
     return records.join(pairs.select("code").distinct(), "code", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import expand_address, tokens
+from matchloom.operators.select import rank_distinct
 from matchloom.schema import code_source
 
 NAME, ADDRESS = 4, 5
@@ -38,3 +39,25 @@ def gram_candidates(anchor_grams: DataFrame, target_grams: DataFrame, targets: D
     order = Window.partitionBy("anchor", "source").orderBy(F.desc("score"), "code")
     ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
     return ranked.withColumn("rank", F.col("rn") - 1).drop("rn")
+
+
+def seed_views(anchors: DataFrame, targets: DataFrame, matches: DataFrame, threshold: float) -> DataFrame:
+    """The prepared anchors, and for each kept match (anchor, code, p, keep) of at least ``threshold`` its target's
+    record as one more view of the anchor; ``anchor`` becomes a struct (anchor, seed), seed NULL for the own record."""
+    fields = ["country", "glued", "nf", "af"]
+    sure = matches.filter(F.col("keep") & (F.col("p") >= threshold)).select("anchor", "code").distinct()
+    sure = sure.join(anchors.select("anchor"), "anchor", "left_semi")
+    more = sure.join(targets.select("code", *fields), "code").select("anchor", F.col("code").alias("seed"), *fields)
+    own = anchors.select("anchor", F.lit(None).cast("bigint").alias("seed"), *fields)
+    return own.unionByName(more).select(F.struct("anchor", "seed").alias("anchor"), *fields)
+
+
+def seeded_candidates(anchors: DataFrame, targets: DataFrame, matches: DataFrame, threshold: float = 0.95, cap: int = 256, k: int = 30) -> DataFrame:
+    """(anchor, code, source, score, shared, rank) of the character-gram search with confident matches as further
+    views: each view finds its own k best, and a pair found by several keeps its best score.
+
+    matches must not have been decided with the labels under test.
+    """
+    views = seed_views(anchors, targets, matches, threshold)
+    found = gram_candidates(gram_rows(views, "anchor"), gram_rows(targets, "code"), targets, cap, k)
+    return rank_distinct(found.withColumn("anchor", F.col("anchor.anchor")))

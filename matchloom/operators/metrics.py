@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchloom.operators.labels import require_empty, require_unique
+
 BUCKETS = (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.97, 1.01)
 
 
@@ -35,6 +37,14 @@ def macro(scores: DataFrame) -> DataFrame:
     )
 
 
+def check_coverage(answers: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The answers (one row an anchor), if they cover every anchor once and no other; else an error."""
+    require_unique(answers, ["anchor"], "anchors answered twice")
+    require_empty(anchors.join(answers, "anchor", "left_anti").select("anchor"), "anchors without an answer")
+    require_empty(answers.join(anchors, "anchor", "left_anti").select("anchor"), "answers of unknown anchors")
+    return answers
+
+
 def report(scores: DataFrame) -> DataFrame:
     """One row: the score, its halves, the score of an empty answer, and pooled counts."""
     single = F.col("n_true") == 0
@@ -91,6 +101,39 @@ def blocking(truth: DataFrame, pairs: DataFrame, anchors: DataFrame, total_pairs
     return out.withColumn("__one", F.lit(1)).join(lower_percentile(per, "cands", {"candidates_median": 0.5, "candidates_p95": 0.95}).withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
+def build_report(pairs: DataFrame, kept: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row on built pair tables: (train_all, train_kept, train_pos, val, val_pos, val_blocking_recall).
+
+    pairs: (role, label) with role train or val; kept: the training pairs left after thinning; anchors: (role,
+    n_true).  A recall without true pairs is 0.
+    """
+    of = lambda role, x: F.sum(F.when(F.col("role") == role, x).otherwise(0))
+    label = F.col("label").cast("long")
+    totals = pairs.agg(F.coalesce(of("train", F.lit(1)), F.lit(0)).alias("train_all"), F.coalesce(of("train", label), F.lit(0)).alias("train_pos"), F.coalesce(of("val", F.lit(1)), F.lit(0)).alias("val"), F.coalesce(of("val", label), F.lit(0)).alias("val_pos"))
+    left = kept.agg(F.count("*").alias("train_kept"))
+    truth = anchors.agg(F.coalesce(of("val", F.col("n_true")), F.lit(0)).alias("n_true"))
+    one = lambda frame: frame.withColumn("__one", F.lit(1))
+    out = one(totals).join(one(left), "__one").join(one(truth), "__one")
+    recall = F.col("val_pos") / F.greatest("n_true", F.lit(1))
+    return out.select("train_all", "train_kept", "train_pos", "val", "val_pos", recall.alias("val_blocking_recall"))
+
+
+def budget_ceilings(scored: DataFrame, anchors: DataFrame, budgets: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+    """(budget, kept, ceiling): candidates re-ranked by ``p`` within anchor and source, the pairs within each budget,
+    and the score of a perfect decision among them.
+
+    scored: (anchor, code, source, p, label); ties go to the smaller code.  Pairs are ranked and counted once for all
+    budgets.
+    """
+    order = Window.partitionBy("anchor", "source").orderBy(F.desc("p"), "code")
+    ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= max(budgets))
+    inside = [(b, F.col("rn") <= b) for b in budgets]
+    counts = ranked.groupBy("anchor").agg(*(F.sum(F.when(x, F.col("label").cast("long")).otherwise(0)).alias(f"hit{b}") for b, x in inside), *(F.count(F.when(x, 1)).alias(f"kept{b}") for b, x in inside))
+    per = anchors.join(counts, "anchor", "left").fillna(0, [c for c in counts.columns if c != "anchor"])
+    row = per.agg(*(F.avg(f05(F.col(f"hit{b}"), F.lit(0), F.col("n_true"))).alias(f"c{b}") for b in budgets), *(F.sum(f"kept{b}").alias(f"k{b}") for b in budgets))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(b).alias("budget"), F.col(f"k{b}").alias("kept"), F.col(f"c{b}").alias("ceiling")) for b in budgets))))
+
+
 def by_country(scores: DataFrame) -> DataFrame:
     """Scores of each country and of all (country NULL)."""
     return scores.rollup("country").agg(F.count("*").alias("n"), F.avg("f05").alias("macro_f05"))

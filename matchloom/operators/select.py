@@ -40,6 +40,14 @@ def add_quota(selected: DataFrame, extra: DataFrame, k_wide: int) -> DataFrame:
     return out.select("anchor", "code", "source", F.col("f.score").alias("score"), "channels", F.col("f.ret_rank").alias("ret_rank"))
 
 
+def rank_distinct(found: DataFrame) -> DataFrame:
+    """Each (anchor, code) once, with its best score, and ``rank`` from 0 within anchor and source; ties go to the
+    smaller code."""
+    best = found.groupBy("anchor", "source", "code").agg(F.max_by("shared", F.struct("score", "shared")).alias("shared"), F.max("score").alias("score"))
+    order = Window.partitionBy("anchor", "source").orderBy(F.desc("score"), "code")
+    return best.withColumn("rank", F.row_number().over(order) - 1)
+
+
 def select(anchors: DataFrame, targets: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k_keep: int = 25, k_wide: int = 150, k_formula: int = 10, extra_k: int = 0) -> DataFrame:
     """(anchor, code, source, score, channels, ret_rank) of the selected candidates.
 

@@ -75,6 +75,14 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def learning_subset(pairs: DataFrame, n: int, seed: int = 3) -> DataFrame:
+    """All pairs of a fixed random n of the anchors that have pairs (all, if fewer), for a learning curve.
+
+    Subsets of growing n contain each other.
+    """
+    return pairs.join(sample(pairs.select("anchor").distinct(), "anchor", n, seed), "anchor", "left_semi")
+
+
 def is_dev(anchor: Column, share: float = 0.1, seed: int = 7) -> Column:
     """Whether an anchor, with all its pairs, belongs to the development part."""
     return F.pmod(F.xxhash64(anchor, F.lit(seed)), F.lit(10_000)) < int(10_000 * share)

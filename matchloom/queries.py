@@ -276,7 +276,7 @@ def block_sizes(spark, sf_dir):
     return blocking.block_sizes(_key_sides(docs(spark, sf_dir))[1])
 
 
-@query(f"{PARTS}, {BLOCKS} SELECT channel, count(*) AS keys, round(avg(size), 6) AS mean_size, max(size) AS max_size FROM blk GROUP BY channel")
+@query(f"{PARTS}, {BLOCKS} SELECT channel, count(*) AS keys, round(avg(size), 6) AS mean_size, round(quantile_cont(CAST(size AS DOUBLE), 0.99), 6) AS p99_size, max(size) AS max_size FROM blk GROUP BY channel")
 def block_profile(spark, sf_dir):
     return rounded(blocking.block_profile(_key_sides(parts(spark, sf_dir))[1]))
 
@@ -354,6 +354,15 @@ def extra_channel_quota(spark, sf_dir, cap=CAP, k=K, extra_cap=CAP):
     return _shown(found).drop("source")
 
 
+@query()
+def seed_expansion(spark, sf_dir):
+    """The character-gram search of part records, seeded with the best match of each anchor; tested on a fixture."""
+    a, t = sides(held(parts(spark, sf_dir)))
+    given = blocking.candidates(keys.keys(a, CHANNELS, ("anchor",)), keys.keys(t, CHANNELS, ("code",)), CAP, 1)
+    sure = given.select("anchor", "code", F.lit(1.0).alias("p"), F.lit(True).alias("keep"))
+    return chargram.seeded_candidates(a, t, sure).select("anchor", "code", F.round("score", 2).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 @query()
 def chargram_topk(spark, sf_dir):
     """Name and address grams with the operator's own caps; tested on a fixture."""
@@ -406,14 +415,14 @@ def token_overlap(spark, sf_dir):
     return rounded(both.withColumn("o", features.token_overlap(F.col("wa"), F.col("wt"))).filter("o is not null").select("a", "t", "o.*"))
 
 
-NUMBER_PAIRS = """n AS (SELECT p_partkey AS k, [CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)] AS x, [CAST(p_partkey // 10 AS VARCHAR), CAST(p_size + 1 AS VARCHAR)] AS y FROM part WHERE p_size <> p_partkey AND p_partkey // 10 <> p_size + 1)"""
+NUMBER_PAIRS = """n AS (SELECT p_partkey AS k, CASE WHEN p_size = p_partkey THEN [CAST(p_size AS VARCHAR)] ELSE [CAST(p_size AS VARCHAR), CAST(p_partkey AS VARCHAR)] END AS x,
+  CASE WHEN p_partkey // 10 = p_size + 1 THEN [CAST(p_size + 1 AS VARCHAR)] ELSE [CAST(p_partkey // 10 AS VARCHAR), CAST(p_size + 1 AS VARCHAR)] END AS y FROM part)"""
 
 
 def _number_pairs(spark, sf_dir) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     tenth = F.floor(F.col("p_partkey") / 10)
-    p = p.filter((F.col("p_size") != F.col("p_partkey")) & (tenth != F.col("p_size") + 1))
-    text = lambda *c: F.array(*(x.cast("string") for x in c))
+    text = lambda *c: F.array_distinct(F.array(*(x.cast("string") for x in c)))
     x, y = text(F.col("p_size"), F.col("p_partkey")), text(tenth, F.col("p_size") + 1)
     return p.select(F.col("p_partkey").alias("k"), x.alias("nums_a"), y.alias("nums_t"), x.alias("nums_j_a"), y.alias("nums_j_t"), x.alias("postal_a"), x.alias("postal_t"))
 
@@ -421,7 +430,7 @@ def _number_pairs(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {NUMBER_PAIRS}, d AS (SELECT k, x, y, len(list_intersect(x, y)) AS sh,
   flatten(list_transform(x, lambda a: list_transform(y, lambda b: CASE WHEN greatest(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) = 0 THEN 0 ELSE abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE)) / greatest(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) END))) AS gaps,
   flatten(list_transform(x, lambda a: list_transform(y, lambda b: length(a) >= 2 AND length(b) >= 2 AND abs(length(a) - length(b)) = 1 AND (starts_with(a, b) OR starts_with(b, a))))) AS cuts FROM n)
-SELECT k, CAST(sh AS DOUBLE) AS num_shared, round(sh / (4.0 - sh), 6) AS num_jacc, CAST(x[1] = y[1] AS DOUBLE) AS num_first_equal, CAST(sh = 0 AS DOUBLE) AS num_conflict,
+SELECT k, CAST(sh AS DOUBLE) AS num_shared, round(sh / (len(x) + len(y) - sh), 6) AS num_jacc, CAST(x[1] = y[1] AS DOUBLE) AS num_first_equal, CAST(sh = 0 AS DOUBLE) AS num_conflict,
   round(least(1.0, list_min(gaps)), 6) AS num_min_reldiff, CAST(list_contains(cuts, true) AS DOUBLE) AS num_prefix FROM d""")
 def number_block(spark, sf_dir):
     e = features.number_evidence()
@@ -688,6 +697,50 @@ def rank_depth(spark, sf_dir, cap=CAP, k=K):
     return metrics.rank_depth(doc_truth(spark, sf_dir), _candidates(docs(spark, sf_dir), cap, k), (1, 3))
 
 
+@query(f"""WITH {PAIR_VIEW}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor, source ORDER BY p DESC, target) AS rn FROM pairs),
+h AS (SELECT a.anchor, a.n_true, b.budget, coalesce(sum(r.label), 0) AS hit, count(r.target) AS kept FROM anchors a CROSS JOIN (VALUES (1), (2), (3)) AS b(budget) LEFT JOIN r ON r.anchor = a.anchor AND r.rn <= b.budget GROUP BY ALL)
+SELECT budget, CAST(sum(kept) AS BIGINT) AS kept, round(avg(CASE WHEN n_true = 0 THEN 1.0 WHEN hit = 0 THEN 0.0 ELSE 1.25 * hit / (1.25 * hit + 0.25 * (n_true - hit)) END), 6) AS ceiling FROM h GROUP BY budget""")
+def budget_ceilings(spark, sf_dir):
+    """An order has at most seven pairs here, so the budgets are small."""
+    scored = pairs(spark, sf_dir)
+    return rounded(metrics.budget_ceilings(scored.withColumnRenamed("target", "code"), anchors(spark, sf_dir, scored), (1, 2, 3)))
+
+
+@query(f"""WITH {PAIR_VIEW}, x AS (SELECT anchor, target // 3 AS code, source, q AS score, label AS shared FROM pairs),
+d AS (SELECT anchor, source, code, max(score) AS score FROM x GROUP BY ALL)
+SELECT anchor, CAST(source AS INT) AS source, code, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY anchor, source ORDER BY score DESC, code) - 1 AS INT) AS rank FROM d""")
+def rank_distinct(spark, sf_dir):
+    given = pairs(spark, sf_dir).select("anchor", F.floor(F.col("target") / 3).alias("code"), "source", F.col("q").alias("score"), F.col("label").alias("shared"))
+    out = select.rank_distinct(given)
+    return out.select("anchor", F.col("source").cast("int").alias("source"), "code", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH {PAIR_VIEW}, r AS (SELECT p.*, CASE WHEN a.country = '1-URGENT' THEN 'val' ELSE 'train' END AS role FROM pairs p JOIN anchors a ON a.anchor = p.anchor WHERE p.p >= 0.3)
+SELECT CAST(count(*) FILTER (role = 'train') AS BIGINT) AS train_all, CAST(count(*) FILTER (role = 'train' AND (label = 1 OR p >= 0.5)) AS BIGINT) AS train_kept, CAST(count(*) FILTER (role = 'train' AND label = 1) AS BIGINT) AS train_pos,
+  CAST(count(*) FILTER (role = 'val') AS BIGINT) AS val, CAST(count(*) FILTER (role = 'val' AND label = 1) AS BIGINT) AS val_pos,
+  round(count(*) FILTER (role = 'val' AND label = 1) / (SELECT greatest(sum(n_true), 1) FROM anchors WHERE country = '1-URGENT'), 6) AS val_blocking_recall FROM r""")
+def build_report(spark, sf_dir):
+    scored = pairs(spark, sf_dir)
+    a = anchors(spark, sf_dir, scored).withColumn("role", F.when(F.col("country") == "1-URGENT", "val").otherwise("train"))
+    found = scored.filter("p >= 0.3").join(a.select("anchor", "role"), "anchor")  # blocking's part of the pairs
+    return rounded(metrics.build_report(found, found.filter("role = 'train' and (label = 1 or p >= 0.5)"), a))
+
+
+LEARNING_SIZES = (100, 1000)  # the feature: a learning curve's sizes
+
+
+@query(f"""WITH {PAIR_VIEW}, a AS (SELECT count(DISTINCT anchor) AS n FROM pairs) SELECT CAST(s.size AS INT) AS size, CAST(least(s.size, a.n) AS BIGINT) AS anchors, CAST(0 AS BIGINT) AS cut FROM a, (VALUES {', '.join(f'({s})' for s in LEARNING_SIZES)}) AS s(size)""")
+def learning_curve(spark, sf_dir):
+    """For each size, the anchors drawn and those of them whose pairs are not whole."""
+    given = pairs(spark, sf_dir)
+    whole, out = given.groupBy("anchor").agg(F.count("*").alias("n")), None
+    for size in LEARNING_SIZES:
+        drawn = splits.learning_subset(given, size).groupBy("anchor").agg(F.count("*").alias("m")).join(whole, "anchor")
+        row = drawn.agg(F.lit(size).alias("size"), F.count("*").alias("anchors"), F.count(F.when(F.col("m") != F.col("n"), 1)).alias("cut"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query()
 def bootstrap_interval(spark, sf_dir):
     s = _scores(spark, sf_dir)

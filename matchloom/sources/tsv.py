@@ -57,11 +57,14 @@ def edges(truth: DataFrame) -> DataFrame:
     return truth_edges(truth).select("source1_entity_id", "target_entity_id").distinct()
 
 
-def id_lists(anchors: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def id_lists(anchors: DataFrame, pairs: DataFrame, name: str, repeated: str = "merge") -> DataFrame:
     """(source1_entity_id, <name>): distinct ids as sorted text, joined by commas; empty for anchors without any.
 
-    Only ids of sources 2 and 3 without delimiters may occur, and no anchor may be unknown.
+    Only ids of sources 2 and 3 without delimiters may occur, and no anchor may be unknown.  A repeated pair counts
+    once, or is an error with ``repeated="refuse"``.
     """
+    if repeated == "refuse":
+        require_unique(pairs, ["source1_entity_id", "target_entity_id"], "repeated pairs")
     bad = pairs.filter(~F.col("target_entity_id").rlike(r"^S[23]-[0-9]+$")).select("target_entity_id")
     require_empty(bad, "ids that cannot be written")
     require_empty(pairs.join(anchors, "source1_entity_id", "left_anti"), "pairs of unknown anchors")
@@ -69,21 +72,32 @@ def id_lists(anchors: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     return anchors.join(lists, "source1_entity_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit("")))
 
 
-def write_id_lists(anchors: DataFrame, pairs: DataFrame, name: str, path: str) -> None:
+def write_id_lists(anchors: DataFrame, pairs: DataFrame, name: str, path: str, repeated: str = "merge") -> None:
     """One line for each anchor in input order (``row_ord``), a trailing tab for an empty list, under a header.
 
     Lines go to one sorted range of rows a file, so no task holds the whole output; file names keep the order.
     """
-    rows = id_lists(anchors, pairs, name)
+    rows = id_lists(anchors, pairs, name, repeated)
     lines = rows.select("row_ord", F.concat_ws("\t", "source1_entity_id", name).alias("value"))
     head = rows.sparkSession.createDataFrame([(-1, f"source1_entity_id\t{name}")], "row_ord bigint, value string")
     lines.unionByName(head).orderBy("row_ord").select("value").write.mode("errorifexists").text(path)
 
 
+def write_id_lists_by_group(anchors: DataFrame, pairs: DataFrame, name: str, path: str) -> None:
+    """As ``write_id_lists``, from pairs with a ``group`` (such as a country).  Repeated pairs are errors, and so is an
+    anchor in two groups, whose list no group would hold whole."""
+    spread = pairs.groupBy("source1_entity_id").agg(F.min("group").alias("first"), F.max("group").alias("last"), F.count("group").alias("n"), F.count("*").alias("all"))
+    require_empty(spread.filter("first <> last or n < all"), "anchors in two groups or in none")
+    write_id_lists(anchors, pairs, name, path, "refuse")
+
+
 def read_id_lists(spark: SparkSession, path: str, name: str) -> DataFrame:
     """What ``write_id_lists`` wrote: exactly two fields a line, each anchor once."""
     rows = spark.read.text(path).select(F.split("value", "\t", -1).alias("f"))
     require_empty(rows.filter(F.size("f") != 2), f"{path}: lines without two fields")
+    heads = [r[0] for r in rows.filter(F.col("f")[0] == "source1_entity_id").select(F.col("f")[1]).limit(3).collect()]
+    if heads != [name]:
+        raise ValueError(f"{path}: headers {heads}, not one of {name}")
     out = rows.select(F.col("f")[0].alias("source1_entity_id"), F.col("f")[1].alias(name)).filter(F.col("source1_entity_id") != "source1_entity_id")
     require_unique(out, ["source1_entity_id"], f"{path}: repeated anchors")
     return out
@@ -126,7 +140,10 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 
 
 def read_pairs(spark: SparkSession, path: str, sort: bool = False) -> DataFrame:
-    rows = spark.read.parquet(path)
+    """The pair table, whose files must agree on having weights."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    if "weight" in rows.columns:
+        require_empty(rows.filter("weight is null").select("anchor"), f"{path}: files without weights beside others")
     return rows.sortWithinPartitions("anchor") if sort else rows
 
 
