@@ -67,14 +67,18 @@ def candidates(anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000,
 
 def pool_counts(pairs: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
     """Adds t_name_cnt, t_addr_cnt, a_name_cnt, a_addr_cnt: target records that share the exact name or address of
-    the candidate or of the anchor; 0 without such a key, never capped."""
+    the candidate or of the anchor; 0 without such a key, never capped.
+
+    The counts of both fields are put together a record, so pairs are joined twice.
+    """
+    exact = {"name": "name_exact", "addr": "addr_exact"}
+    own, asked = (x.filter(F.col("channel").isin(*exact.values())) for x in (target_keys, anchor_keys))
+    sizes = block_sizes(own)
     out = pairs
-    for channel, name in (("name_exact", "name"), ("addr_exact", "addr")):
-        own = target_keys.filter(F.col("channel") == channel)
-        sizes = own.groupBy("country", "key").agg(F.count("*").alias("n"))
-        by_target = own.join(sizes, ["country", "key"]).select("code", F.col("n").alias(f"t_{name}_cnt"))
-        by_anchor = anchor_keys.filter(F.col("channel") == channel).join(sizes, ["country", "key"]).select("anchor", F.col("n").alias(f"a_{name}_cnt"))
-        out = out.join(by_target, "code", "left").join(by_anchor, "anchor", "left").fillna(0, [f"t_{name}_cnt", f"a_{name}_cnt"])
+    for rows, key, side in ((own, "code", "t"), (asked, "anchor", "a")):
+        names = {f"{side}_{name}_cnt": channel for name, channel in exact.items()}
+        counts = rows.join(sizes, KEY).groupBy(key).agg(*(F.max(F.when(F.col("channel") == c, F.col("size"))).alias(n) for n, c in names.items()))
+        out = out.join(counts, key, "left").fillna(0, list(names))
     return out
 
 

@@ -118,10 +118,25 @@ def retrieval_columns() -> dict[str, Column]:
 TEXTS = ("name", "name_ns", "glued", "addr", "nums", "nums_j", "postal", "indic")
 
 
-def assemble(pairs: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+WEIGHTS = ("nw", "aw")
+
+
+def weighted(records: DataFrame, freq: DataFrame, key: str) -> DataFrame:
+    """Adds nw and aw, the weights of name and address tokens; [] without any.
+
+    Tokens of pairs come from the expanded address, tokens of keys from the folded one.
+    """
+    words, out = records.withColumn("words", address_tokens(F.col("addr"))), records
+    for column, tokens, field in zip(WEIGHTS, ("ntok", "words"), ("n", "a")):
+        found = token_weights(words, freq, key, tokens, field).select(key, F.col("weights").alias(column))
+        out = out.join(found, key, "left").withColumn(column, F.coalesce(column, _no_weights()))
+    return out
+
+
+def assemble(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, columns: tuple[str, ...] = TEXTS) -> DataFrame:
     """Pairs with the prepared columns of both records, suffixed _a and _t."""
-    a = anchors.select("anchor", F.col("country").alias("country_a"), *(F.col(c).alias(f"{c}_a") for c in TEXTS))
-    t = targets.select("code", *(F.col(c).alias(f"{c}_t") for c in TEXTS))
+    a = anchors.select("anchor", F.col("country").alias("country_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    t = targets.select("code", *(F.col(c).alias(f"{c}_t") for c in columns))
     return pairs.join(a, "anchor").join(t, "code")
 
 
@@ -132,13 +147,9 @@ def features(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, freq: Dat
     Token weights are looked up once a record, before pairing; both sides use the anchor's country, which equals
     the target's, since keys are scoped by country.
     """
-    out = assemble(pairs.withColumnRenamed("score", "ret_score"), anchors, targets)
-    # Tokens of pairs come from the expanded address, tokens of keys from the folded one.
-    for field, tokens in (("n", "ntok"), ("a", "words")):
-        left = token_weights(anchors.withColumn("words", address_tokens(F.col("addr"))), freq, "anchor", tokens, field).withColumnRenamed("weights", f"{field}w_a")
-        right = token_weights(targets.withColumn("words", address_tokens(F.col("addr"))), freq, "code", tokens, field).withColumnRenamed("weights", f"{field}w_t")
-        out = out.join(left, "anchor", "left").join(right, "code", "left")
-        out = out.withColumn(f"{field}o", token_overlap(F.coalesce(f"{field}w_a", _no_weights()), F.coalesce(f"{field}w_t", _no_weights())))
+    anchors, targets = weighted(anchors, freq, "anchor"), weighted(targets, freq, "code")
+    out = assemble(pairs.withColumnRenamed("score", "ret_score"), anchors, targets, TEXTS + WEIGHTS)
+    out = out.withColumn("no", token_overlap(F.col("nw_a"), F.col("nw_t"))).withColumn("ao", token_overlap(F.col("aw_a"), F.col("aw_t")))
     sims = pair_similarities("name_a", "name_t", "name_ns_a", "name_ns_t", "addr_a", "addr_t")
     out = out.withColumn("s", sims)
     la, lt, aa, at = (F.length(c).cast("double") for c in ("name_a", "name_t", "addr_a", "addr_t"))

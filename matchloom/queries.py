@@ -445,7 +445,7 @@ def joined_numbers(spark, sf_dir):
 
 @query()
 def pair_features(spark, sf_dir):
-    p = parts(spark, sf_dir)
+    p = held(parts(spark, sf_dir))  # keys, frequencies and both sides read it
     freq = stats.token_freq(p)
     a, t = sides(p)
     ak, tk = keys.keys(a, CHANNELS, ("anchor",)), keys.keys(t, CHANNELS, ("code",))
@@ -455,7 +455,7 @@ def pair_features(spark, sf_dir):
 
 @query()
 def cheap_pair_features(spark, sf_dir):
-    a, t = sides(parts(spark, sf_dir))
+    a, t = sides(held(parts(spark, sf_dir)))
     ak, tk = keys.keys(a, CHANNELS, ("anchor",)), keys.keys(t, CHANNELS, ("code",))
     return rounded(features.cheap_features(blocking.pool_counts(blocking.candidates(ak, tk), ak, tk), a, t), 4)
 

@@ -24,6 +24,20 @@ def test_lcs(a, b):
     assert sim.token_sort_ratio(a, " ".join(reversed(a.split()))) == sim.ratio(" ".join(sorted(a.split())), " ".join(sorted(a.split())))
 
 
+SINGLE = {"ratio": sim.ratio, "jw": sim.jaro_winkler, "tsort": sim.token_sort_ratio, "tset": sim.token_set_ratio}
+LONG = st.text(alphabet="abcé \0\U0001f600", max_size=90)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(LONG, LONG) | st.tuples(WORDS, WORDS), max_size=12))
+def test_lanes_equal_single_pairs(pairs):
+    pairs = pairs + [("a" * 64, "ba" * 32), ("ab" * 32, "ba" * 200), ("b" * 65, "ab" * 40)]
+    assert list(sim.lcs_lengths(pairs)) == [lcs(a, b) for a, b in pairs]
+    for kind, kernel in SINGLE.items():
+        got = sim.KERNELS[kind]([p for p in pairs if p[0] and p[1]])
+        assert list(got) == [kernel(*p) for p in pairs if p[0] and p[1]]
+
+
 def test_known_values():
     assert abs(sim.jaro_winkler("martha", "marhta") - 0.9611111) < 1e-6
     assert abs(sim.jaro_winkler("dixon", "dicksonx") - 0.8133333) < 1e-6
