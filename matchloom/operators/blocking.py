@@ -39,15 +39,23 @@ def store_postings(target_keys: DataFrame, name: str, buckets: int) -> DataFrame
 
 
 def weighted_hits(anchor_keys: DataFrame, target_keys: DataFrame, cap: int) -> DataFrame:
-    """(anchor, code, channel, w): one row for each pair and shared key, keys with multiplicity."""
+    """(anchor, code, bit, w): one row for each pair and shared key, keys with multiplicity.
+
+    Weight and channel bit are worked out an anchor key, before the join expands.
+    """
     sizes = block_sizes(target_keys).filter(F.col("size") <= cap)
-    weighted = anchor_keys.join(sizes, KEY).withColumn("w", (F.log(F.lit(IDF_REF)) - F.log(F.col("size"))).cast("float"))
-    return weighted.join(target_keys.select(*KEY, "code"), KEY).select("anchor", "code", "channel", "w")
+    w = (F.log(F.lit(IDF_REF)) - F.log(F.col("size"))).cast("float").cast("double")
+    weighted = anchor_keys.join(sizes, KEY).select(*KEY, "anchor", w.alias("w"), channel_bit(F.col("channel")).alias("bit"))
+    return weighted.join(target_keys.select(*KEY, "code"), KEY).select("anchor", "code", "bit", "w")
 
 
 def score(hits: DataFrame) -> DataFrame:
-    """(anchor, code, source, score, channels): weights summed in double and rounded to float once."""
-    scored = hits.groupBy("anchor", "code").agg(F.sum(F.col("w").cast("double")).alias("score"), F.bit_or(channel_bit(F.col("channel"))).alias("channels"))
+    """(anchor, code, source, score, channels): weights summed in double and rounded to float once.
+
+    A pair's hits come from different keys, so summing before the shuffle saves little; dealt by anchor, they serve
+    the sums, the ranks of an anchor and joins on it with one shuffle.  An anchor has at most ``cap`` hits a key.
+    """
+    scored = hits.repartition("anchor").groupBy("anchor", "code").agg(F.sum("w").alias("score"), F.bit_or("bit").alias("channels"))
     return scored.withColumn("score", F.round("score", 4).cast("float")).withColumn("source", code_source(F.col("code")))
 
 

@@ -30,12 +30,13 @@ def gram_candidates(anchor_grams: DataFrame, target_grams: DataFrame, targets: D
     """(anchor, code, source, score, shared, rank): grams in more than ``cap`` targets are left out whole.
 
     A gram weighs ln(1 + targets of the country / targets with the gram); sizes come before the join expands.
+    Hits are dealt by anchor once, for sums and ranks.
     """
     key = ["country", "field", "gram"]
     total = targets.groupBy("country").agg(F.count("*").alias("n_country"))
     df = target_grams.groupBy(*key).agg(F.count("*").alias("df")).filter(F.col("df") <= cap).join(total, "country")
-    hits = anchor_grams.join(df.withColumn("w", F.log1p(F.col("n_country") / F.col("df"))), key).join(target_grams, key)
-    scored = hits.groupBy("anchor", "code").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared).withColumn("source", code_source(F.col("code")))
+    hits = anchor_grams.join(df.withColumn("w", F.log1p(F.col("n_country") / F.col("df"))), key).join(target_grams, key).select("anchor", "code", "w")
+    scored = hits.repartition("anchor").groupBy("anchor", "code").agg(F.round(F.sum("w"), 6).alias("score"), F.count("*").alias("shared")).filter(F.col("shared") >= min_shared).withColumn("source", code_source(F.col("code")))
     order = Window.partitionBy("anchor", "source").orderBy(F.desc("score"), "code")
     ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
     return ranked.withColumn("rank", F.col("rn") - 1).drop("rn")
