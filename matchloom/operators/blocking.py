@@ -1,17 +1,18 @@
 """Blocking join: candidates share keys whose block is not too large, and score by how rare those keys are.
 
-Block sizes come from one aggregation of the target keys, and oversized blocks go before the join expands, so the
-largest expansion of a key is ``cap`` rows an anchor key.  Only ids and keys are shuffled; texts join later.
+Block sizes come from one aggregation of the target keys, and oversized blocks go before any pair is made.  Pairs are
+summed and ranked in cells (``search``), so only ids and keys are shuffled, no hits; texts join later.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.operators import search
 from matchloom.operators.keys import channel_bit
 from matchloom.operators.labels import require_empty
-from matchloom.schema import IDF_REF, code_source
+from matchloom.schema import IDF_REF
 
 KEY = ["country", "channel", "key"]
 
@@ -38,39 +39,22 @@ def store_postings(target_keys: DataFrame, name: str, buckets: int) -> DataFrame
     return target_keys.sparkSession.table(name)
 
 
-def weighted_hits(anchor_keys: DataFrame, target_keys: DataFrame, cap: int) -> DataFrame:
-    """(anchor, code, bit, w): one row for each pair and shared key, keys with multiplicity.
-
-    Weight and channel bit are worked out an anchor key, before the join expands.
-    """
-    sizes = block_sizes(target_keys).filter(F.col("size") <= cap)
+def weighed(blocks: DataFrame) -> DataFrame:
+    """Blocks with the weight of their key, a float in a double, and the bit of their channel."""
     w = (F.log(F.lit(IDF_REF)) - F.log(F.col("size"))).cast("float").cast("double")
-    weighted = anchor_keys.join(sizes, KEY).select(*KEY, "anchor", w.alias("w"), channel_bit(F.col("channel")).alias("bit"))
-    return weighted.join(target_keys.select(*KEY, "code"), KEY).select("anchor", "code", "bit", "w")
+    return blocks.withColumn("w", w).withColumn("bit", channel_bit(F.col("channel")))
 
 
-def score(hits: DataFrame) -> DataFrame:
-    """(anchor, code, source, score, channels): weights summed in double and rounded to float once.
+def candidates(anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k: int = 25, channels: tuple[str, ...] | None = None) -> DataFrame:
+    """(anchor, code, source, score, channels, ret_rank) from (anchor | code, country, channel, key) rows.
 
-    A pair's hits come from different keys, so summing before the shuffle saves little; dealt by anchor, they serve
-    the sums, the ranks of an anchor and joins on it with one shuffle.  An anchor has at most ``cap`` hits a key.
+    Weights are summed in double, keys with multiplicity, rounded to four places and to float once; the k best of each
+    anchor and source have ``ret_rank`` from 0, and ties go to the smaller code.
     """
-    scored = hits.repartition("anchor").groupBy("anchor", "code").agg(F.sum("w").alias("score"), F.bit_or("bit").alias("channels"))
-    return scored.withColumn("score", F.round("score", 4).cast("float")).withColumn("source", code_source(F.col("code")))
-
-
-def top_per_source(scored: DataFrame, k: int) -> DataFrame:
-    """The k best of each anchor and source with ``ret_rank`` from 0; ties go to the smaller code."""
-    order = Window.partitionBy("anchor", "source").orderBy(F.desc("score"), "code")
-    ranked = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
-    return ranked.withColumn("ret_rank", (F.col("rn") - 1).cast("int")).drop("rn")
-
-
-def candidates(anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k: int = 25, channels: tuple[str, ...] | None = None) -> DataFrame:
-    """(anchor, code, source, score, channels, ret_rank) from (anchor | code, country, channel, key) rows."""
     if channels is not None:
         anchor_keys, target_keys = (x.filter(F.col("channel").isin(*channels)) for x in (anchor_keys, target_keys))
-    return top_per_source(score(weighted_hits(anchor_keys, target_keys, cap)), k)
+    found = search.best(anchor_keys, target_keys, KEY, cap, k, weighed, 4, single=True, bits=True)
+    return found.select("anchor", "code", "source", "score", "channels", F.col("rank").alias("ret_rank"))
 
 
 def pool_counts(pairs: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
