@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchloom.functions.similarity import similarity
-from matchloom.operators.blocking import candidates
+from matchloom.operators import search
+from matchloom.operators.blocking import KEY, candidates, weighed
 from matchloom.schema import EXTRA_CHANNELS
 
 
@@ -31,6 +32,26 @@ def with_formula(wide: DataFrame, anchors: DataFrame, targets: DataFrame) -> Dat
     return out.withColumn("formula", formula(F.col("name_tset"), F.col("addr_tset"), F.col("score"))).drop("__na", "__aa", "__nt", "__at")
 
 
+def jaccard(a: Column, t: Column) -> Column:
+    """Of two arrays of distinct tokens; NULL if either is empty."""
+    return F.when((F.size(a) > 0) & (F.size(t) > 0), F.size(F.array_intersect(a, t)) / F.size(F.array_union(a, t)))
+
+
+def select_by_tokens(anchors: DataFrame, targets: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k_keep: int = 25, k_wide: int = 150, k_formula: int = 10) -> DataFrame:
+    """(anchor, code, source, score, channels, ret_rank): the wide list re-ranked by the Jaccard likeness of ``ntok``.
+
+    anchors: (anchor, country, ntok), targets: (code, country, ntok), both held.  The search compares the tokens where
+    it ranks, so the wide list is not shuffled; where an id comes in several rows, each of them counts, by joins.
+    """
+    a, t = anchors.select("anchor", "country", F.col("ntok").alias("tokens")), targets.select("code", "country", F.col("ntok").alias("tokens"))
+    if all(x.groupBy(c).count().filter("count > 1").isEmpty() for x, c in ((a, "anchor"), (t, "code"))):
+        found = search.best(anchor_keys, target_keys, KEY, cap, k_wide, weighed, 4, single=True, bits=True, tokens=(a, t), keep=(k_keep, k_formula))
+        return found.select("anchor", "code", "source", "score", "channels", F.col("rank").alias("ret_rank"))
+    wide = candidates(anchor_keys, target_keys, cap, k_wide).join(a.select("anchor", F.col("tokens").alias("na")), "anchor").join(t.select("code", F.col("tokens").alias("nt")), "code")
+    wide = wide.withColumn("formula", F.round(formula(jaccard(F.col("na"), F.col("nt")), F.lit(None).cast("double"), F.col("score")), 9))
+    return reselect(wide, k_keep, k_formula).select("anchor", "code", "source", "score", "channels", "ret_rank")
+
+
 def add_quota(selected: DataFrame, extra: DataFrame, k_wide: int) -> DataFrame:
     """Adds one extra channel's own best; a pair that is there gets the channel's bit, a new one its own score."""
     base = selected.select("anchor", "code", "source", "score", "channels", "ret_rank", F.lit(1).alias("own"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchloom.operators import blocking, search
+from matchloom.operators import blocking, search, select
 from matchloom.schema import BITS, SOURCE_BASE
 
 
@@ -65,3 +65,19 @@ def test_hits_are_not_rows(spark):
 def test_no_keys_find_nothing(spark):
     empty = lambda c: spark.createDataFrame([], f"{c} bigint, country string, channel string, key string")
     assert blocking.candidates(empty("anchor"), empty("code")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [None, (50, 4, 100, 40)])
+def test_tokens_are_compared_where_the_search_ranks(spark, monkeypatch, parts):
+    for name, value in zip(("HITS", "PARTS", "MOST_HITS", "POSTINGS"), parts or ()):
+        monkeypatch.setattr(search, name, value)
+    _, _, ak, tk = keyed(spark, True)
+    words = lambda x, c: x.groupBy(c, "country").agg(F.array_sort(F.collect_set("key")).alias("ntok")).withColumn("ntok", F.when(F.col(c) % 5 == 0, F.array().cast("array<string>")).otherwise(F.slice("ntok", 1, 3)))
+    a, t = words(ak, "anchor"), words(tk, "code")
+    joined = []
+    monkeypatch.setattr(select, "reselect", lambda *x, f=select.reselect: joined.append(1) or f(*x))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    got = rows(select.select_by_tokens(a, t, ak, tk, 1000, 2, 8, 2))
+    assert not joined
+    twice = select.select_by_tokens(a, t.unionByName(t.limit(1).withColumn("code", F.lit(7).cast("bigint"))).unionByName(t.limit(1).withColumn("code", F.lit(7).cast("bigint"))), ak, tk, 1000, 2, 8, 2)
+    assert joined and got == rows(twice) and len(got) > 100
