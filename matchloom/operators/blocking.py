@@ -45,16 +45,16 @@ def weighed(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("w", w).withColumn("bit", channel_bit(F.col("channel")))
 
 
-def candidates(anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k: int = 25, channels: tuple[str, ...] | None = None) -> DataFrame:
-    """(anchor, code, source, score, channels, ret_rank) from (anchor | code, country, channel, key) rows.
+def candidates(anchor_keys: DataFrame, target_keys: DataFrame, cap: int = 3000, k: int = 25, channels: tuple[str, ...] | None = None, home: bool = False) -> DataFrame:
+    """(anchor, code, source, score, channels, ret_rank[, home]) from (anchor | code, country, channel, key) rows.
 
     Weights are summed in double, keys with multiplicity, rounded to four places and to float once; the k best of each
-    anchor and source have ``ret_rank`` from 0, and ties go to the smaller code.
+    anchor and source have ``ret_rank`` from 0, and ties go to the smaller code.  ``home`` tells where the search found it.
     """
     if channels is not None:
         anchor_keys, target_keys = (x.filter(F.col("channel").isin(*channels)) for x in (anchor_keys, target_keys))
     found = search.best(anchor_keys, target_keys, KEY, cap, k, weighed, 4, single=True, bits=True)
-    return found.select("anchor", "code", "source", "score", "channels", F.col("rank").alias("ret_rank"))
+    return found.select("anchor", "code", "source", "score", "channels", F.col("rank").alias("ret_rank"), *["home"] * home)
 
 
 def pool_counts(pairs: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
@@ -63,17 +63,23 @@ def pool_counts(pairs: DataFrame, anchor_keys: DataFrame, target_keys: DataFrame
 
     The counts of both fields are put together a record, so pairs are joined twice.
     """
-    exact = {"name": "name_exact", "addr": "addr_exact"}
-    own, asked = (x.filter(F.col("channel").isin(*exact.values())) for x in (target_keys, anchor_keys))
-    sizes = block_sizes(own)
     out = pairs
-    for rows, key, side in ((own, "code", "t"), (asked, "anchor", "a")):
-        names = {f"{side}_{name}_cnt": channel for name, channel in exact.items()}
-        counts = rows.join(sizes, KEY).groupBy(key).agg(*(F.max(F.when(F.col("channel") == c, F.col("size"))).alias(n) for n, c in names.items()))
-        out = out.join(counts, key, "left").fillna(0, list(names))
+    for rows, key, side in ((target_keys, "code", "t"), (anchor_keys, "anchor", "a")):
+        out = counted(out, rows, target_keys, key, side)
     return out
 
 
+EXACT = {"name": "name_exact", "addr": "addr_exact"}
+
+
+def counted(frame: DataFrame, keys: DataFrame, target_keys: DataFrame, key: str, side: str) -> DataFrame:
+    """Adds the two counts of ``pool_counts`` of one side to records (or pairs) with ``key``."""
+    rows, own = (x.filter(F.col("channel").isin(*EXACT.values())) for x in (keys, target_keys))
+    names = {f"{side}_{name}_cnt": channel for name, channel in EXACT.items()}
+    counts = rows.join(block_sizes(own), KEY).groupBy(key).agg(*(F.max(F.when(F.col("channel") == c, F.col("size"))).alias(n) for n, c in names.items()))
+    return frame.join(counts, key, "left").fillna(0, list(names))
+
+
 def needed_records(records: DataFrame, pairs: DataFrame, check: bool = False) -> DataFrame:
     """The target records that occur in pairs, before any of their text is prepared; with ``check``, a pair whose
     target has no record is an error."""

@@ -1,21 +1,20 @@
 """Pair features: 70 columns in a fixed order, NULL meaning unknown.
 
-String similarities come from one Arrow UDF; everything else is built-in array expressions and windows.  Neither
-country nor any id is a feature.
+They are worked out in cells (``paired``); ``token_overlap``, ``number_evidence`` and ``joined_numbers`` are the same as
+column expressions, for pairs that are rows already.  Neither country nor any id is a feature.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.similarity import pair_similarities
 from matchloom.functions.text import address_tokens
-from matchloom.operators.context import rival_context
+from matchloom.operators import paired
 from matchloom.operators.stats import token_counts
-from matchloom.schema import BASE_MASK, BITS, CHANNELS, IDF_REF
+from matchloom.schema import CHANNELS, IDF_REF
 
 # Fixed order of the columns.
 NAMES = ("name_ratio", "name_jw", "name_tsort", "name_tset", "ns_ratio", "ns_tset", "name_equal", "glued_equal", "name_len_a", "name_len_t", "name_len_ratio")
@@ -33,10 +32,6 @@ CHEAP = (
 )
 
 
-def _known(left: str, right: str, value: Column) -> Column:
-    return F.when((F.col(left) != "") & (F.col(right) != ""), value)
-
-
 def token_overlap(a: Column, t: Column) -> Column:
     """(jacc, wov, wshared_max, wmiss_a, wmiss_t) of two arrays of structs (token, w); NULL if either is empty.
 
@@ -105,16 +100,6 @@ def joined_numbers(a: str = "nums_j_a", t: str = "nums_j_t") -> dict[str, Column
     }
 
 
-def retrieval_columns() -> dict[str, Column]:
-    bits = F.col("channels").cast("bigint")
-    return {
-        "is_s3": (F.col("source") == 3).cast("double"),
-        "n_channels": F.bit_count(bits.bitwiseAND(F.lit(BASE_MASK))).cast("double"),
-        **{f"ch_{c}": (bits.bitwiseAND(F.lit(BITS[c])) != 0).cast("double") for c in CHANNELS},
-        **{c: F.log1p(F.col(c)) for c in COUNTS},
-    }
-
-
 TEXTS = ("name", "name_ns", "glued", "addr", "nums", "nums_j", "postal", "indic")
 
 
@@ -133,48 +118,15 @@ def weighted(records: DataFrame, freq: DataFrame, key: str) -> DataFrame:
     return out
 
 
-def assemble(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, columns: tuple[str, ...] = TEXTS) -> DataFrame:
-    """Pairs with the prepared columns of both records, suffixed _a and _t."""
-    a = anchors.select("anchor", F.col("country").alias("country_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    t = targets.select("code", *(F.col(c).alias(f"{c}_t") for c in columns))
-    return pairs.join(a, "anchor").join(t, "code")
-
-
 def features(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, freq: DataFrame) -> DataFrame:
-    """anchor, code, source and the 70 columns, from candidates with pool counts and prepared records.
+    """anchor, code, source and the 70 columns, from held candidates with pool counts and prepared records.
 
-    anchors: prepared records with ``anchor``; targets: with ``code``.  All candidates of an anchor must be there.
-    Token weights are looked up once a record, before pairing; both sides use the anchor's country, which equals
-    the target's, since keys are scoped by country.
+    anchors: prepared records with ``anchor``; targets: with ``code``; the counts may be theirs (``blocking.counted``)
+    instead of the pairs'.  All candidates of an anchor must be there.  Token weights are looked up once a record; both
+    sides use the anchor's country, which equals the target's, since keys are scoped by country.
     """
     anchors, targets = weighted(anchors, freq, "anchor"), weighted(targets, freq, "code")
-    out = assemble(pairs.withColumnRenamed("score", "ret_score"), anchors, targets, TEXTS + WEIGHTS)
-    out = out.withColumn("no", token_overlap(F.col("nw_a"), F.col("nw_t"))).withColumn("ao", token_overlap(F.col("aw_a"), F.col("aw_t")))
-    sims = pair_similarities("name_a", "name_t", "name_ns_a", "name_ns_t", "addr_a", "addr_t")
-    out = out.withColumn("s", sims)
-    la, lt, aa, at = (F.length(c).cast("double") for c in ("name_a", "name_t", "addr_a", "addr_t"))
-    out = out.withColumns(
-        {
-            **{c: F.col(f"s.{c}") for c in ("name_ratio", "name_jw", "name_tsort", "name_tset", "ns_ratio", "ns_tset", "addr_ratio", "addr_tsort", "addr_tset")},
-            "name_equal": _known("name_a", "name_t", (F.col("name_a") == F.col("name_t")).cast("double")),
-            "glued_equal": _known("glued_a", "glued_t", (F.col("glued_a") == F.col("glued_t")).cast("double")),
-            "name_len_a": la,
-            "name_len_t": lt,
-            "name_len_ratio": F.when(F.greatest(la, lt) > 0, F.least(la, lt) / F.greatest(la, lt)),
-            **{f"name_{k}": F.col(f"no.{k}") for k in ("jacc", "wov", "wshared_max", "wmiss_a", "wmiss_t")},
-            **{f"addr_{k}": F.col(f"ao.{k}") for k in ("jacc", "wov", "wshared_max")},
-            "addr_empty_a": (aa == 0).cast("double"),
-            "addr_empty_t": (at == 0).cast("double"),
-            "addr_len_ratio": F.when(F.least(aa, at) > 0, F.least(aa, at) / F.greatest(aa, at)),
-            **number_evidence(),
-            **joined_numbers(),
-            "indic_a": F.col("indic_a").cast("double"),
-            "indic_t": F.col("indic_t").cast("double"),
-            **retrieval_columns(),
-        }
-    )
-    out = rival_context(out)
-    return out.select("anchor", "code", "source", *(F.col(f).cast("float").alias(f) for f in FEATURES))
+    return paired.worked_out(pairs, anchors, targets, TEXTS + WEIGHTS, FEATURES, True)
 
 
 def _no_weights() -> Column:
@@ -182,21 +134,5 @@ def _no_weights() -> Column:
 
 
 def cheap_features(pairs: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
-    """anchor, code, source and the 30 columns of a first ranking over wide lists."""
-    out = assemble(pairs.withColumnRenamed("score", "ret_score"), anchors, targets)
-    out = out.withColumn("s", pair_similarities("name_a", "name_t", "name_ns_a", "name_ns_t", "addr_a", "addr_t"))
-    a = Window.partitionBy("anchor")
-    name, addr = F.coalesce("s.name_tset", F.lit(0.0)), F.coalesce("s.addr_tset", F.lit(0.0))
-    out = out.withColumns(
-        {
-            **{f"c_{k}": F.col(f"s.{k}") for k in ("name_ratio", "name_jw", "name_tset", "ns_tset", "addr_ratio", "addr_tset")},
-            "c_glued_eq": _known("glued_a", "glued_t", (F.col("glued_a") == F.col("glued_t")).cast("double")),
-            "c_name_best": F.max(name).over(a),
-            "c_addr_best": F.max(addr).over(a),
-            "c_name_gap": F.max(name).over(a) - name,
-            "c_addr_gap": F.max(addr).over(a) - addr,
-            "c_combo_gap": F.max(name + addr).over(a) - (name + addr),
-            **retrieval_columns(),
-        }
-    )
-    return out.select("anchor", "code", "source", *(F.col(f).cast("float").alias(f) for f in CHEAP))
+    """anchor, code, source and the 30 columns of a first ranking over wide lists; see ``features``."""
+    return paired.worked_out(pairs, anchors, targets, TEXTS[:4], CHEAP, False)
