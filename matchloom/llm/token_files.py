@@ -42,6 +42,8 @@ LAYOUT = {
 }
 #: Bytes of text: in a file at most, in a file at least (unless the session has few partitions), encoded at a time.
 MOST, LEAST, STEP = 1 << 30, 8 << 20, 1 << 21
+#: Files up to which the bounds of their ids are part of the plan.
+BOUNDS = 512
 _HELD: dict[str, Words] = {}
 
 
@@ -88,7 +90,11 @@ def encode_texts(texts: pa.StringArray, path: str, most: int = STEP) -> Iterator
             continue
         ends = ends + ahead
         behind = first + len(ends)
-        yield first, behind, np.insert(np.concatenate(held), ends, np.int32(END)), ends + np.arange(1, len(ends) + 1)
+        stops = ends + np.arange(1, len(ends) + 1)
+        whole, own = np.full(ahead + len(ids) + len(ends), END, np.int32), np.ones(ahead + len(ids) + len(ends), bool)
+        own[stops - 1] = False
+        whole[own] = np.concatenate(held) if len(held) > 1 else ids
+        yield first, behind, whole, stops
         first, held, ahead = behind, [], 0
 
 
@@ -98,6 +104,27 @@ def files(docs: DataFrame) -> int:
     return max(1, -(-size // MOST), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST)))
 
 
+def ranged(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` in ``n`` ranges of ids with about as many rows each; rows of one id stay together, NULL comes first.
+
+    Bounds are quantiles of the ids alone, so texts are not read for them; beyond ``BOUNDS`` Spark samples rows.
+    """
+    if n > BOUNDS:
+        return rows.repartitionByRange(n, F.asc_nulls_first("doc_id"))
+    shares = [k / n for k in range(1, n)]
+    bounds = rows.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("b")).first()["b"] if shares else []
+    bounds = sorted(set(bounds or []))
+
+    def place(low: int, high: int):
+        """The number of bounds below an id, by halves."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col("doc_id") > bounds[mid], place(mid + 1, high)).otherwise(place(low, mid))
+
+    return rows.repartitionById(n, place(0, len(bounds)))
+
+
 def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     """Encodes all texts and writes the files."""
     path = path or default_path()
@@ -117,8 +144,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
                 row, before = row + n, before + int(ends[-1])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    # Ranges have about as many rows each; rows of one id stay together.
-    ranges = rows.repartitionByRange(files(docs), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    ranges = ranged(rows, files(docs)).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     ranges.mapInArrow(tidy(run), SCHEMA).write.options(**LAYOUT).mode("overwrite").parquet(out)
 
 

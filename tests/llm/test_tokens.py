@@ -134,3 +134,21 @@ def test_files(spark, tmp_path, library):
 
     meta = pq.ParquetFile(max(glob.glob(f"{out}/*.parquet"))).metadata.row_group(0)
     assert all(meta.column(i).has_column_index and "DELTA_BINARY_PACKED" in meta.column(i).encodings for i in range(meta.num_columns))
+
+
+def test_ranges_read_no_text(spark, tmp_path):
+    """The bounds of the files come from the ids alone; order, NULL ids and repeated ids stay."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") * 37 % 1000).alias("doc_id"), F.col("id").cast("string").alias("text")).unionByName(spark.createDataFrame([(None, "x")] * 5, "doc_id bigint, text string"))
+    boom = rows.withColumn("text", F.when(F.lit(True), F.raise_error(F.lit("text read")).cast("string")))
+    token_files.ranged(boom, 7)  # planning asks for the bounds
+    parts = token_files.ranged(rows, 7).select(F.spark_partition_id().alias("p"), "doc_id", "text").collect()
+    ranges = {}
+    for p, i, _ in parts:
+        ranges.setdefault(p, []).append(-1 if i is None else i)
+    order = [(min(v), max(v)) for _, v in sorted(ranges.items())]
+    assert len(parts) == 3005 and len(order) == 7 and all(x[1] < y[0] for x, y in zip(order, order[1:]))
+    assert max(map(len, ranges.values())) < 600
+    for n in (1, 3):
+        assert token_files.ranged(rows.filter("doc_id is null"), n).count() == 5 and token_files.ranged(rows.limit(0), n).count() == 0
